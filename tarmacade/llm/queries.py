@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmacade.functions.clean import language_code, stripped
+from tarmacade.functions.clean import language_code, source_name, stripped
+from tarmacade.llm.mixture import mix, share_report
+from tarmacade.llm.packing import fill_report, pack
 from tarmacade.llm.percentiles import counted, daily_sketch, multi_select, sketch_values, wide
+from tarmacade.llm.quality import COLUMNS, quality
+from tarmacade.llm.tokens import sized
 from tarmacade.llm.topn import top_n
 from tarmacade.operators.orphans import latest_rows
 from tarmacade.session import cut_lineage
@@ -74,11 +78,60 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return top_n(cut_lineage(held), "event_id", "pos_overall", "id", BEST).select("event_id", "rnk", "id")
 
 
+# --- 6: containers of texts
+
+
+def p6_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """The container of every text, or piece of a text, for every capacity, and its fill."""
+    return pack(sized(table(spark, sf, "documents")), table(spark, sf, "pack_sizes"))
+
+
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """How many containers of each kind there are and how full they are."""
+    return fill_report(p6_packed(spark, sf))
+
+
+# --- 7: the mixture of sources
+
+
+def _targets(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "mix_targets").withColumn("source", source_name("source"))
+
+
+def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts drawn, one row per use, in the order of their shards."""
+    documents = table(spark, sf, "documents").withColumn("source", source_name("source"))
+    return mix(sized(documents, "source"), _targets(spark, sf))
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """What each source was to contribute and what it does."""
+    return share_report(p7_mixture(spark, sf), _targets(spark, sf))
+
+
+# --- 8: text quality
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return quality(table(spark, sf, "documents")).where(F.col("form").isin("list", "table", "junk")).select("doc_id", "form")
+
+
+def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """All statistics of every text, with the reason of each rule that it fails."""
+    return quality(table(spark, sf, "documents")).select("doc_id", *COLUMNS)
+
+
 QUERIES = {
     "p1_percentiles": p1_percentiles,
     "p1_daily_sketches": p1_daily_sketches,
     "p1_combined_sketches": p1_combined_sketches,
     "p4_found": p4_found,
+    "p6_packed": p6_packed,
+    "p6_fill": p6_fill,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_statistics": p8_statistics,
 }
 
 _CODE = "nullif(lower(regexp_extract({0}, '^\\s*([A-Za-z]+)', 1)), '')"
