@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmacade.functions.clean import language_code, source_name, stripped
+from tarmacade.functions.clean import language_code, present, source_name, stripped
+from tarmacade.functions.countries import country_code
+from tarmacade.llm.linking import link
 from tarmacade.llm.mixture import mix, share_report
+from tarmacade.llm.names import Nicknames
 from tarmacade.llm.packing import fill_report, pack
 from tarmacade.llm.percentiles import counted, daily_sketch, multi_select, sketch_values, wide
 from tarmacade.llm.quality import COLUMNS, quality
@@ -78,6 +81,32 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return top_n(cut_lineage(held), "event_id", "pos_overall", "id", BEST).select("event_id", "rnk", "id")
 
 
+# --- 5: spellings of names
+
+
+def name_records(spark: SparkSession, sf: str) -> DataFrame:
+    """(key, name, country, typed): every name of every people record and hand-typed entry.
+
+    All deliveries of a record contribute names; its country is that of the row that holds, or
+    else any that was delivered.
+    """
+    people = table(spark, sf, "people").withColumn("key", present("person_id")).where("key is not null")
+    known = people.select("key", F.struct("loaded_at", country_code("country").alias("code")).alias("c"))
+    countries = known.where("c.code is not null").groupBy("key").agg(F.max("c").alias("c")).select("key", F.col("c.code").alias("country"))
+    names = people.select("key", F.explode(F.concat(F.array("display_name"), F.coalesce("searchable_names", F.array()))).alias("name"))
+    records = names.join(countries, "key", "left").select("key", "name", "country", F.lit(False).alias("typed"))
+    entries = table(spark, sf, "participation").where(present("person_id").isNull() & F.col("row_id").isNotNull())
+    return records.unionByName(
+        entries.select(F.concat(F.lit("entry:"), "row_id").alias("key"), F.col("driver_name").alias("name"), F.lit(None).cast("string").alias("country"), F.lit(True).alias("typed"))
+    )
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    short = table(spark, sf, "given_names").select("full_form", "short_form")
+    nicknames = Nicknames([(r[0], r[1]) for r in short.collect()])  # a fixed table of short forms
+    return link(name_records(spark, sf), nicknames)
+
+
 # --- 6: containers of texts
 
 
@@ -126,6 +155,7 @@ QUERIES = {
     "p1_daily_sketches": p1_daily_sketches,
     "p1_combined_sketches": p1_combined_sketches,
     "p4_found": p4_found,
+    "p5_found": p5_found,
     "p6_packed": p6_packed,
     "p6_fill": p6_fill,
     "p7_mixture": p7_mixture,
