@@ -26,8 +26,9 @@ SLOWEST_MS = 3_600_000  # beyond an hour a latency is a sentinel or a broken clo
 SKETCH_ERROR = 0.01
 
 
-def latencies(spark: SparkSession, sf: str) -> DataFrame:
-    """(period, language, metric, value, w): how often each valid latency occurs on each day.
+def latencies(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    """(period, language, metric, value, w): how often each valid latency occurs on each day,
+    and, if the whole is wanted too, on all days together (period `all`).
 
     A run delivered repeatedly counts once, as delivered last. Its language is the primary
     subtag of `language`, else of `locale`, else `und`. Null, NaN, negative and latencies over
@@ -44,15 +45,17 @@ def latencies(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.lit("stt_latency_ms").alias("metric"), F.col("stt").alias("value")),
     )
     long = runs.select("period", "language", F.explode(metric).alias("m")).select("period", "language", "m.metric", "m.value")
-    return counted(long.where(F.col("value").between(0, SLOWEST_MS)), ["period", "language", "metric"])
+    long = long.where(F.col("value").between(0, SLOWEST_MS))
+    if whole:
+        long = long.withColumn("period", F.explode(F.array("period", F.lit("all"))))
+    return counted(long, ["period", "language", "metric"])
 
 
 def p1_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     """Exact percentiles per day and language, and per language over all days (period `all`)."""
     groups = ["period", "language", "metric"]
-    daily = cut_lineage(latencies(spark, sf))
-    whole = daily.groupBy("language", "metric", "value").agg(F.sum("w").alias("w")).withColumn("period", F.lit("all"))
-    return wide(multi_select(daily.unionByName(whole), groups, [*PERCENTILES.values()]), groups, PERCENTILES, 0)
+    found = multi_select(latencies(spark, sf, whole=True), groups, [*PERCENTILES.values()])
+    return wide(found, groups, PERCENTILES, 0)
 
 
 def p1_daily_sketches(spark: SparkSession, sf: str) -> DataFrame:
