@@ -30,10 +30,16 @@ def fold(rows: list[dict[str, Any]], state: tuple[Any, Any, Any]) -> tuple[list[
     return out, (generation, rally, driver)
 
 
-def session_states(turns: DataFrame) -> DataFrame:
-    """The folded turns of a stream (session, turn, generation, rally, driver); idle sessions expire."""
+def session_states(turns: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """The folded turns of a stream (session, turn, generation, rally, driver).
+
+    Sessions without a turn for `idle_ms` expire, which keeps the state bounded; None keeps
+    them, for streams that end.
+    """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -41,10 +47,11 @@ def session_states(turns: DataFrame) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values("turn").astype(object).where(lambda x: x.notna(), None).to_dict("records")
         out, new = fold(rows, state.get if state.exists else (None, None, None))
         state.update(new)
-        state.setTimeoutDuration(IDLE_MS)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
-    return turns.groupBy("session").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return turns.groupBy("session").applyInPandasWithState(step, OUTPUT, STATE, "append", timeout)
 
 
 def session_folds(turns: DataFrame) -> DataFrame:
