@@ -54,6 +54,13 @@ def kernel_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("id", "a", "b", *scores.values())
 
 
+def composite_score_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The composite score of every spelling of a rally's name against the others'."""
+    from tarmacade.functions.composite import composite
+
+    return name_pairs(spark, sf).select("id", "a", "b", kernels.pairwise(composite)("a", "b").alias("score"))
+
+
 def _entities(spark: SparkSession, sf: str) -> DataFrame:
     """Rallies, stages and people of the deliveries as entities, one name each."""
     people = table(spark, sf, "people").select(present("person_id").alias("entity_id"), F.lit("person").alias("entity_type"), F.col("display_name").alias("name"))
@@ -218,7 +225,7 @@ QUERIES = {
     "acoustic_fold": lambda spark, sf: _names(spark, sf).select("name", T.acoustic_fold(T.normalize(F.col("name"))).alias("fold"), T.consonant_skeleton(F.col("name")).alias("skeleton")),
     "phonetic_key": lambda spark, sf: _names(spark, sf).select("name", T.phonetic_key(F.col("name")).alias("key")),
     "soundex_variant": lambda spark, sf: _names(spark, sf).select("name", T.soundex(T.normalize(F.col("name"))).alias("code")),
-    "ngrams_explode": ngrams_explode, "similarity_pairs": similarity_pairs, "kernel_pairs": kernel_pairs, "scalars": scalars,
+    "ngrams_explode": ngrams_explode, "similarity_pairs": similarity_pairs, "kernel_pairs": kernel_pairs, "composite_score_pairs": composite_score_pairs, "scalars": scalars,
     "postings_build": postings_build, "candidates_ranked": candidates_ranked, "entity_resolution_decisions": entity_resolution_decisions,
     "recall_mrr": recall_mrr, "index_coverage": index_coverage,
     "latency_summary": latency_summary, "phase_totals": phase_totals, "failure_taxonomy": failure_taxonomy, "query_f1": query_f1, "parity_report": parity_report,

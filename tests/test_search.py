@@ -109,6 +109,17 @@ def test_kernels():
     assert kernels.word_error_rate("a b c", "a x c d") == 2 / 3
 
 
+def test_composite_ladder_and_people():
+    from tarmacade.functions.composite import composite, latin_variants
+
+    pairs = [("West Cork Rally", "west cork rally"), ("West Cork Rally 2024", "West Cork Rally"), ("WestCork Rally", "West Cork Rally"), ("West Cork", "Rally West Cork"), ("Alexa Fox", "Rally Aleksa Foks")]
+    assert [composite(*p) for p in pairs] == [1.0, 0.96, 0.95, 0.94, 0.93]
+    assert composite("Rally X 1999", "Rally X 2026") == 0.25 and composite("", "x") == composite("x", "") == 0.0
+    assert composite("Ann Berg", "Cy Berg", True) <= 0.60 and composite("Ann Berg", "Bo Carl", True) <= 0.55 < composite("Ann Bergg", "Ann Berg", True)
+    assert composite("Bergg", "Ann Berg", True) > 0.7 and composite("Zzz", "Ann Berg", True) == 0.0
+    assert latin_variants("محمد")[0] == "mhmd" and composite("محمد", "Mhmd") == 0.94
+
+
 def test_index_finds_what_a_full_scan_finds_and_decides_safely(spark):
     people = [("p1", "person", "Ann Berg"), ("p2", "person", "Anna Bergman"), ("p3", "person", "Bo Carl"), ("p4", "person", "Bo Carl"), ("p5", "person", " ")]
     mentions = [("m1", "person", "Bo Carl"), ("m2", "person", "Ann Berg"), ("m3", "person", "zzz"), ("m4", "person", "ann")]
