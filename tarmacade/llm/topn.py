@@ -41,7 +41,8 @@ def top_n(rows: DataFrame, group: str, score: str, item: str, n: int, hot: int =
 
     Ties of the score go by `item`, which must be unique within a group to make the order total;
     whole repeated rows are then told apart arbitrarily but look the same. Rows with a null
-    group or score belong nowhere and are left out; other columns pass through. Groups with
+    group or score belong nowhere and are left out; other columns pass through, except that one
+    named `rnk` is replaced by the rank. Groups with
     fewer than `n` rows give what they have. The result is the same for any `hot` and `ranges`.
     """
     rows = rows.where(F.col(group).isNotNull() & F.col(score).isNotNull())
