@@ -1,12 +1,13 @@
 """Linking records whose names are spellings of one name.
 
-Blocks of phonetic codes bring names together, a comparison by Jaro-Winkler similarity, edit
-distance and short given names accepts or rejects each pair, and connected components over the
-accepted pairs and over the names of one record cluster them. Work is done on distinct names:
-a name typed a million times is compared once.
-
-A block that grows beyond a size is replaced by finer blocks (with a further code), never cut
-off, so that frequent given or family names don't compare all with all.
+Blocks of tokens that are written or heard alike bring names together, a comparison by
+Jaro-Winkler similarity, edit distance and short given names accepts or rejects each pair, and
+connected components over the accepted pairs and over the names of one record cluster them.
+Work is done on distinct names: a name typed a million times is compared once.
+
+Every pair that the comparison accepts meets in a block. One that grows beyond a size is split
+by keys of a second token, again such that every accepted pair meets, so that frequent given or
+family names don't compare all with all.
 """
 
 from __future__ import annotations
@@ -18,13 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmacade.llm.components import connected_components
-from tarmacade.llm.names import Nicknames, block_keys, same_name, tokens
+from tarmacade.llm.names import Nicknames, alike, anchors, held_keys, probe_keys, same_name, spelt_keys, tokens
 from tarmacade.session import cut_lineage
 
-#: Names in a block from which on its finer blocks are used instead.
+#: Names in a block beyond which it is split by a second token.
 BLOCK = 50
-#: The list of replaced blocks is broadcast; it never has more entries than this.
-MOST_REPLACED = 100_000
 
 
 def with_forms(records: DataFrame, *columns: str) -> DataFrame:
@@ -37,35 +36,76 @@ def with_forms(records: DataFrame, *columns: str) -> DataFrame:
     return records.select(*columns, form("name").alias("form")).where("form <> ''").distinct()
 
 
-def blocked(forms: DataFrame, nicknames: Nicknames, block: int = BLOCK) -> DataFrame:
-    """(form, key, finer, short, large): the blocks of each form; large ones have more than `block` names."""
-    shared = forms.sparkSession.sparkContext.broadcast(nicknames)
+def _spread(frame: DataFrame) -> DataFrame:
+    """The frame in as many parts as a shuffle has, however few its bytes: Python works on them."""
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
 
-    @F.pandas_udf("array<struct<key: string, finer: string, short: boolean>>")
-    def keys(names: pd.Series) -> pd.Series:
-        return pd.Series([[{"key": k, "finer": f, "short": s} for k, f, s in block_keys(n.split(), shared.value)] for n in names])
+def alike_words(words: DataFrame) -> DataFrame:
+    """(x, y): the pairs of words (word) that are alike, in both directions, and each with itself."""
 
-    keyed = cut_lineage(forms.select("form", F.explode(keys("form")).alias("k")).select("form", "k.key", "k.finer", "k.short"))
-    sizes = cut_lineage(keyed.groupBy("key").agg(F.countDistinct("form").alias("n")).where(F.col("n") > block))
-    while sizes.where(F.col("n") > block).count() > MOST_REPLACED:
-        block *= 2
-    large = F.broadcast(sizes.where(F.col("n") > block).select("key", F.lit(True).alias("large")))
-    return keyed.join(large, "key", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    @F.pandas_udf("array<long>")
+    def keys(column: pd.Series) -> pd.Series:
+        return pd.Series([list(spelt_keys(w)) for w in column], dtype=object)
 
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[alike(x, y) for x, y in zip(batch["x"], batch["y"])]]
 
-def candidate_pairs(blocks: DataFrame) -> DataFrame:
-    """(a, b), a < b: the forms that meet in a block.
+    keyed = cut_lineage(_spread(words).select("word", F.explode(keys("word")).alias("key")))
+    met = keyed.select("key", F.col("word").alias("x")).join(keyed.select("key", F.col("word").alias("y")), "key")
+    found = _spread(met.where("x < y").select("x", "y").distinct()).mapInPandas(check, "x string, y string")
+    found = cut_lineage(found)
+    return found.union(found.select("y", "x")).union(words.select("word", "word"))
 
-    In a small block all meet; in a large one those of one finer block, and abbreviated names,
-    which have no finer block, meet all others.
+
+def candidate_pairs(forms: DataFrame, nicknames: Nicknames, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: forms that share alike anchors; `same_name` accepts no others.
+
+    The names of two alike anchors are a block. If they are more than `block`, only those meet
+    whose second tokens share a key too.
     """
-    chosen = F.when(F.col("large"), F.col("finer")).otherwise(F.col("key"))
-    fine = blocks.select("form", chosen.alias("key")).where("key is not null").distinct()
-    met = fine.select("key", F.col("form").alias("a")).join(fine.select("key", F.col("form").alias("b")), "key")
-    wide = blocks.where("large and finer is not null").select("key", "form", "short").distinct()
-    brief = wide.where("short").select("key", F.col("form").alias("x")).join(wide.select("key", F.col("form").alias("y")), "key")
-    brief = brief.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return met.select("a", "b").unionByName(brief).where("a < b").distinct()
+    spark = forms.sparkSession
+    shared = spark.sparkContext.broadcast(nicknames)
+
+    @F.pandas_udf("array<struct<joined: boolean, anchor: string, other: string>>")
+    def parts(names: pd.Series) -> pd.Series:
+        return pd.Series([[{"joined": w, "anchor": x, "other": y} for w, x, y in anchors(n.split())] for n in names], dtype=object)
+
+    @F.pandas_udf("array<string>")
+    def probes(column: pd.Series) -> pd.Series:
+        return pd.Series([list(probe_keys(t, shared.value)) for t in column], dtype=object)
+
+    @F.pandas_udf("array<string>")
+    def holds(column: pd.Series) -> pd.Series:
+        return pd.Series([list(held_keys(t, shared.value)) for t in column], dtype=object)
+
+    @F.pandas_udf("array<string>")
+    def full(column: pd.Series) -> pd.Series:
+        return pd.Series([list(shared.value.forms(t)) for t in column], dtype=object)
+
+    rows = cut_lineage(_spread(forms.select("form")).select("form", F.explode(parts("form")).alias("p")).select("form", "p.*"))
+    others = rows.select("other").distinct()
+    words = cut_lineage(rows.select(F.col("anchor").alias("word")).union(others.select(F.explode(full("other")))).distinct())
+    near = cut_lineage(alike_words(words))
+
+    at = rows.select("anchor", "form", "joined").distinct()
+    sizes = at.groupBy("anchor").agg(F.countDistinct("form").alias("n"))
+    sized = near.join(sizes.withColumnsRenamed({"anchor": "x", "n": "nx"}), "x").join(sizes.withColumnsRenamed({"anchor": "y", "n": "ny"}), "y")
+    sized = cut_lineage(sized.select("x", "y", (F.col("nx") + F.col("ny") > block).alias("large")))
+    left = lambda f, *key: f.select(*key, F.col("form").alias("a"), F.col("joined").alias("ja"))
+    right = lambda f, *key: f.select(*key, F.col("form").alias("b"), F.col("joined").alias("jb"))
+    small = sized.where("not large and x <= y").join(left(at, F.col("anchor").alias("x")), "x").join(right(at, F.col("anchor").alias("y")), "y")
+
+    large = sized.where("large").select("x", "y")
+    probing = rows.join(large, F.col("anchor") == F.col("x")).select("form", "joined", "y", "other")
+    by_full = probing.select("form", "joined", F.col("y").alias("anchor"), F.explode(full("other")).alias("x")).join(near, "x")
+    keyed = probing.select("form", "joined", "y", F.explode(probes("other")).alias("key")).union(by_full.select("form", "joined", "anchor", F.concat(F.lit("n:"), "y")))
+    holding = rows.join(large.select(F.col("y").alias("anchor")).distinct(), "anchor").select("form", "joined", F.col("anchor").alias("y"), F.explode(holds("other")).alias("key"))
+    split = left(keyed.distinct(), "y", "key").join(right(holding.distinct(), "y", "key"), ["y", "key"])
+
+    met = small.select("a", "ja", "b", "jb").union(split.select("a", "ja", "b", "jb")).where("a <> b and not (ja and jb)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_forms(pairs: DataFrame, nicknames: Nicknames, slack: int = 0) -> DataFrame:
@@ -81,8 +121,8 @@ def similar_forms(pairs: DataFrame, nicknames: Nicknames, slack: int = 0) -> Dat
 
 
 def accepted_pairs(forms: DataFrame, nicknames: Nicknames, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b: the forms that share a block and can be one name."""
-    return similar_forms(candidate_pairs(blocked(forms, nicknames, block)), nicknames)
+    """(a, b), a < b: the forms that can be one name, whatever the size of a block."""
+    return similar_forms(_spread(candidate_pairs(forms, nicknames, block)), nicknames)
 
 
 def link(records: DataFrame, nicknames: Nicknames, block: int = BLOCK) -> DataFrame:

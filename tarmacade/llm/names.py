@@ -1,9 +1,9 @@
 """Linking the spellings of one name: kernels on single names and pairs of names.
 
 A name is reduced to its tokens: one script, no marks, titles, numbers or punctuation, in sorted
-order, so that reordered parts are the same name. Tokens get a phonetic code, the sequence of
-their consonant classes. Names meet in blocks of such codes; inside a block they are compared
-token by token with Jaro-Winkler similarity, edit distance and a table of short given names.
+order, so that reordered parts are the same name. Names meet in blocks of tokens that are written
+or heard alike; inside a block they are compared token by token with Jaro-Winkler similarity,
+edit distance and a table of short given names.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import permutations
+from zlib import crc32
 
 # Cyrillic letters as they are written in Latin ones, letter by letter.
 CYRILLIC = {
@@ -26,9 +28,6 @@ LETTERS = {"ø": "o", "æ": "ae", "œ": "oe", "ß": "ss", "đ": "d", "ð": "d",
 # Words around a name that are no part of it, and entries that stand for no name.
 TITLES = {"dr", "mr", "mrs", "ms", "miss", "prof", "sir", "jr", "sr", "jnr", "snr", "ii", "iii", "car", "the"}
 NOBODY = {"tba", "tbc", "tbd", "unknown", "null", "none", "na", "nn", "anonymous", "driver", "codriver", "test", "xxx", "placeholder"}
-# Consonants that sound alike; vowels and h, w, y have no class.
-CLASSES = {c: k for k, letters in enumerate(("bfpv", "cgjkqsxz", "dt", "l", "mn", "r"), 1) for c in letters}
-
 # Spellings of one sound, in the order in which they are replaced.
 RESPELT = [("ph", "f"), ("ck", "k"), ("x", "ks"), ("c", "k"), ("q", "k"), ("w", "v"), ("y", "i"), ("th", "t")]
 
@@ -54,18 +53,6 @@ def tokens(name: str | None) -> list[str]:
     return [] if any(w in NOBODY for w in words) or all(len(w) == 1 for w in words) else sorted(words)
 
 
-def code(token: str) -> str:
-    """The consonant classes of a token, neighbours of one class once."""
-    out, last = "", 0
-    for c in token:
-        k = CLASSES.get(c, 0)
-        if k and k != last:
-            out += str(k)
-        if k or c in "aeiouy":
-            last = k
-    return out
-
-
 @lru_cache(maxsize=100_000)
 def sound(token: str) -> str:
     """A token in one spelling of its sounds: doubled letters once, c and q as k, ph as f, ..."""
@@ -229,27 +216,58 @@ def _anchored(a: list[str], b: list[str], nicknames: Nicknames, slack: int) -> b
     return False
 
 
-def block_keys(name: list[str], nicknames: Nicknames) -> set[tuple[str, str | None, bool]]:
-    """(key, finer key, abbreviated) of a name: it meets the names with which it shares a key.
+def spelt_keys(word: str) -> set[int]:
+    """Keys that words share if they are alike: the word as written and as heard, with as many
+    letters left out as `tolerance` allows edits. Keys are hashes; a collision adds a candidate.
+    """
+    return {crc32(k.encode()) for spelling in (word, sound(word)) for k in _shortened(spelling)}
+
+
+def _shortened(word: str) -> set[str]:
+    last = found = {word}
+    for _ in range(tolerance(word, word)):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        found = found | last
+    return found
+
 
-    Each token of at least two classes is taken as the family name in turn, by its code and, to
-    allow for one misheard or mistyped consonant, its code without each class; with it go the
-    initials of each other token's full forms, or in the finer key its code. The code alone is
-    a key too, for short forms with another initial; its finer keys are those with an initial.
-    A name whose other tokens are all initials is abbreviated: it has no finer key to share.
+def anchors(name: list[str]) -> set[tuple[bool, str, str]]:
+    """(joined, anchor, other token) of a name as `same_name` tries them.
+
+    Those with two tokens written as one are marked joined: they only meet names that have none.
+    """
+    found = {(False, x, y) for i, x in enumerate(name) for j, y in enumerate(name) if i != j}
+    for i, j in permutations(range(len(name)), 2):
+        if len(name[i]) > 1 and len(name[j]) > 1:
+            both = name[i] + name[j]
+            for k, other in enumerate(name):
+                if k not in (i, j):
+                    found |= {(True, both, other), (True, other, both)}
+    return {(w, x, y) for w, x, y in found if len(x) >= 4}
+
+
+def probe_keys(token: str, nicknames: Nicknames) -> set[str]:
+    """Keys of a token, one of which is among the `held_keys` of each token that it `fits`, or the
+    other way round; full forms that are alike but not as heard the same have keys `n:` besides.
     """
-    keys: set[tuple[str, str | None, bool]] = set()
-    for i, t in enumerate(name):
-        c = code(sound(t))
-        if len(c) < 2:
-            continue
-        near = {c} | ({c[:k] + c[k + 1 :] for k in range(len(c))} if len(c) >= 4 else set())
-        keys.add((c, None, False))
-        short = all(len(x) == 1 for j, x in enumerate(name) if j != i)
-        for j, other in enumerate(name):
-            if i != j:
-                for full in nicknames.forms(other):
-                    fine = code(sound(full))
-                    for initial in {full[0], sound(full)[0]}:
-                        keys.update((f"{v} {initial}", f"{v} {initial} {fine}", short) for v in near)
+    keys = _shared_keys(token, nicknames)
+    if len(token) == 1:
+        keys |= {f"i:{f[0]}" for f in nicknames.forms(token)}
+    if len(token) >= 3:
+        keys.add(f"p:{token}")
+    if len(token) >= 4:
+        keys.add(f"s:{token}")
+    return keys
+
+
+def held_keys(token: str, nicknames: Nicknames) -> set[str]:
+    keys = _shared_keys(token, nicknames) | {f"n:{f}" for f in nicknames.forms(token)} | {f"i:{f[0]}" for f in nicknames.forms(token)}
+    keys |= {f"p:{token[:k]}" for k in range(3, len(token) + 1)}
+    return keys | {f"s:{token[k:]}" for k in range(len(token) - 3)}
+
+
+def _shared_keys(token: str, nicknames: Nicknames) -> set[str]:
+    keys = {f"h:{sound(f)}" for f in nicknames.forms(token)}
+    if len(token) in (3, 4):  # three letters, one of them another
+        keys |= {f"3:{token}"} | {f"3:{token[:i]}{token[i + 1 :]}" for i in range(len(token))}
     return keys

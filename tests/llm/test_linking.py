@@ -1,7 +1,7 @@
 from itertools import combinations
 
 from tarmacade.llm.components import connected_components
-from tarmacade.llm.linking import link
+from tarmacade.llm.linking import accepted_pairs, link
 from tarmacade.llm.names import Nicknames, same_name, tokens
 
 NICK = Nicknames([("Robert", "Bob"), ("Alexander", "Sasha"), (None, "x"), ("Margaret", "Peggy")])
@@ -53,3 +53,16 @@ def test_links_equal_brute_force_whatever_the_block_size(spark):
 
 def test_no_records(spark):
     assert link(spark.createDataFrame([], RECORDS), NICK).collect() == []
+
+
+def test_large_blocks_lose_no_accepted_pair(spark):
+    family = ["Bergolanov", "Bergolanof", "Bergalonov", "Mistokunden", "Mistokundn"]
+    given = ["Ben", "Benjamin", "Fred", "Frederick", "Max", "Mac", "Maximilian", "Lena", "Helena", "Hubert", "Hubeet", "Chatles", "Charles", "Ignacio", "Ifnacio", "Bob", "Robert", "Robrt", "B", "Ann Marie", "Annmarie", "Marie", "Alex", "Aleks"]
+    names = [f"{g} {f}" for g in given for f in family] + ["Ben Bergo Lanov", "Charles Bergo-Lanov", "Lena B Bergolanov", "Hubert Lena Mistokunden", "Hubertlena Mistokunden", "Max Berg", "Lena", "Kai Rae"]
+    forms = sorted({" ".join(tokens(n)) for n in names})
+    expected = {(a, b) for a, b in combinations(forms, 2) if same_name(a.split(), b.split(), NICK)}
+    for a, b in [("ben bergolanov", "benjamin bergolanov"), ("helena mistokunden", "lena mistokunden"), ("bergolanov hubeet", "bergolanov hubert"), ("bergolanov charles", "bergolanov chatles"), ("annmarie bergolanov", "ann bergolanov marie"), ("ben bergo lanov", "ben bergolanov")]:
+        assert tuple(sorted((a, b))) in expected, (a, b)
+    frame = spark.createDataFrame([(f,) for f in forms], "form string").repartition(3)
+    for block in (1, 50):
+        assert {(r["a"], r["b"]) for r in accepted_pairs(frame, NICK, block).collect()} == expected
