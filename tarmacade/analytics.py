@@ -17,6 +17,7 @@ from tarmacade.operators import evaluation as V
 from tarmacade.operators import sessions as S
 from tarmacade.operators.orphans import latest_rows
 from tarmacade.operators.strategies import seconds
+from tarmacade.session import cut_lineage
 from tarmacade.sources.tables import table
 
 
@@ -92,8 +93,9 @@ def candidates_ranked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def entity_resolution_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """What each mention resolves to, every candidate of its pool scored."""
     mentions, people = _mentions(spark, sf), _people(spark, sf)
-    pool = R.candidates(mentions, R.postings(people)).where("rank <= 50")
+    pool = R.escaped(mentions, people, cut_lineage(R.candidates(mentions, R.postings(people))))
     return R.decisions(mentions, R.scored(mentions, people, pool))
 
 

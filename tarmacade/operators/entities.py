@@ -18,6 +18,8 @@ WEIGHTS = {"canonical": 12_000, "exact": 10_000, "token": 200, "trigram": 20, "b
 PREFIX_WEIGHT = 5
 POOL = {"person": 1_200}
 OTHER_POOL = 600
+#: A smaller pool is not trusted: the mention meets every entity of its type.
+LEAST_POOL = 25
 
 # Thresholds of a decision.
 ACCEPT, GAP, PLAUSIBLE, ALTERNATIVE = 0.75, 0.15, 0.50, 0.65
@@ -59,6 +61,19 @@ def candidates(mentions: DataFrame, index: DataFrame) -> DataFrame:
     return summed.withColumn("rank", rank).where(F.col("rank") <= pool).select("mention_id", "entity_id", "weight", "rank")
 
 
+def full_scan(mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """(mention_id, entity_id): every named entity of each mention's type."""
+    named = entities.where(F.trim("name") != "").select("entity_type", "entity_id").distinct()
+    return mentions.select("mention_id", "entity_type").distinct().join(named, "entity_type").select("mention_id", "entity_id")
+
+
+def escaped(mentions: DataFrame, entities: DataFrame, pool: DataFrame) -> DataFrame:
+    """(mention_id, entity_id): the whole pool of each mention, a full scan where it is below LEAST_POOL."""
+    trusted = pool.groupBy("mention_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_POOL).select("mention_id")
+    rest = mentions.join(trusted, "mention_id", "left_anti")
+    return pool.join(trusted, "mention_id", "left_semi").select("mention_id", "entity_id").unionByName(full_scan(rest, entities))
+
+
 def scored(mentions: DataFrame, entities: DataFrame, pool: DataFrame) -> DataFrame:
     """(mention_id, entity_id, name, score, signals...): the pool scored name by name.
 

@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tarmacade import analytics
 from tarmacade.functions import kernels
 from tarmacade.functions import text as T
 from tarmacade.operators import entities as R
@@ -150,3 +151,22 @@ def test_parser():
     assert parse("purple monkeys").query is None
     assert grounded(SearchQuery(Intent.RALLIES, years=(2023, 2024)), "rallies in 2024").years == (2024,)
     assert residual_type(("berg",), "videos featuring berg", Intent.VIDEO_ACTIONS) == "person"
+
+
+def test_decisions_score_the_whole_pool_and_all_where_it_is_small(spark, tmp_path):
+    rally = ("e1", "Rally A")
+    people = [(f"p{i:02}", f"Bergolanov {a}{b}") for i, (a, b) in enumerate((a, b) for a in ("Xu", "Zo", "Wy", "Qua", "Vi", "Ju") for b in ("dak", "jin", "sup", "kal", "mod", "fas", "zem", "wog", "nib", "hyt"))]
+    for name, rows, schema in [
+        ("people", [*people, ("q1", "Rowbert Berkolanof")], "person_id string, display_name string"), ("rallies", [rally], "event_id string, event_name string"),
+        ("stages", [("s1", "Stage 1")], "stage_id string, stage_name string"), ("participation", [(None, "Robert Bergolanov"), (None, "Yyyy")], "person_id string, driver_name string"),
+    ]:
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    mentions, everyone = analytics._mentions(spark, str(tmp_path)), analytics._people(spark, str(tmp_path))
+    pool = R.candidates(mentions, R.postings(everyone))
+    sizes = {r["mention_id"]: r["count"] for r in pool.groupBy("mention_id").count().collect()}
+    assert sizes["Robert Bergolanov"] == 61 and sizes.get("Yyyy", 0) < R.LEAST_POOL
+    expected = sorted(R.decisions(mentions, R.scored(mentions, everyone, R.full_scan(mentions, everyone))).collect())
+    assert sorted(analytics.entity_resolution_decisions(spark, str(tmp_path)).collect()) == expected
+    assert pool.where("mention_id = 'Robert Bergolanov' and entity_id = 'q1'").first()["rank"] > 50
+    assert next(r for r in expected if r["mention_id"] == "Robert Bergolanov")["entity_id"] == "q1"
+    assert R.escaped(mentions, everyone, pool).where("mention_id = 'Yyyy'").count() == 61
