@@ -98,10 +98,10 @@ def candidate_pairs(forms: DataFrame, nicknames: Nicknames, block: int = BLOCK)
     small = sized.where("not large and x <= y").join(left(at, F.col("anchor").alias("x")), "x").join(right(at, F.col("anchor").alias("y")), "y")
 
     large = sized.where("large").select("x", "y")
-    probing = rows.join(large, F.col("anchor") == F.col("x")).select("form", "joined", "y", "other")
+    probing = _spread(rows.join(large, F.col("anchor") == F.col("x")).select("form", "joined", "y", "other"))
     by_full = probing.select("form", "joined", F.col("y").alias("anchor"), F.explode(full("other")).alias("x")).join(near, "x")
     keyed = probing.select("form", "joined", "y", F.explode(probes("other")).alias("key")).union(by_full.select("form", "joined", "anchor", F.concat(F.lit("n:"), "y")))
-    holding = rows.join(large.select(F.col("y").alias("anchor")).distinct(), "anchor").select("form", "joined", F.col("anchor").alias("y"), F.explode(holds("other")).alias("key"))
+    holding = _spread(rows.join(large.select(F.col("y").alias("anchor")).distinct(), "anchor")).select("form", "joined", F.col("anchor").alias("y"), F.explode(holds("other")).alias("key"))
     split = left(keyed.distinct(), "y", "key").join(right(holding.distinct(), "y", "key"), ["y", "key"])
 
     met = small.select("a", "ja", "b", "jb").union(split.select("a", "ja", "b", "jb")).where("a <> b and not (ja and jb)")
@@ -134,7 +134,8 @@ def link(records: DataFrame, nicknames: Nicknames, block: int = BLOCK) -> DataFr
     known countries are never paired. Two records of one cluster are paired if a name of the
     one can be a name of the other, spelling errors on both sides allowed; the cluster of an
     initial thus doesn't join relatives with different given names. Null, blank and stand-in
-    names link nothing; repeated rows count once; other columns are ignored.
+    names link nothing. A family name of two or three letters must be equal, and no given name of
+    the table; repeated rows count once; other columns are ignored.
     """
     named = cut_lineage(with_forms(records, "key", "country", "typed"))
     forms = named.select("form").distinct()

@@ -72,6 +72,11 @@ class Nicknames:
             if f and s:
                 found.setdefault("".join(s), set()).add("".join(f))
         self.full = {s: frozenset(f | {s}) for s, f in found.items()}
+        self._given = frozenset(self.full).union(*self.full.values())
+
+    def given(self, token: str) -> bool:
+        """Whether a token is a full or short form of the table."""
+        return token in self._given
 
     def forms(self, token: str) -> frozenset[str]:
         return self.full.get(token) or frozenset((token,))
@@ -211,11 +216,18 @@ def same_name(a: list[str], b: list[str], nicknames: Nicknames, slack: int = 0)
 def _anchored(a: list[str], b: list[str], nicknames: Nicknames, slack: int) -> bool:
     for i, x in enumerate(a):
         for j, y in enumerate(b):
-            if len(x) >= 4 and len(y) >= 4 and alike(x, y, slack) and given_fit(a[:i] + a[i + 1 :], b[:j] + b[j + 1 :], nicknames, slack):
+            if _anchor(x, y, nicknames, slack) and given_fit(a[:i] + a[i + 1 :], b[:j] + b[j + 1 :], nicknames, slack):
                 return True
     return False
 
 
+def _anchor(x: str, y: str, nicknames: Nicknames, slack: int) -> bool:
+    """Whether two tokens can be one family name: alike, or if short, equal and no known given name."""
+    if min(len(x), len(y)) >= 4:
+        return alike(x, y, slack)
+    return x == y and len(x) >= 2 and not nicknames.given(x)
+
+
 def spelt_keys(word: str) -> set[int]:
     """Keys that words share if they are alike: the word as written and as heard, with as many
     letters left out as `tolerance` allows edits. Keys are hashes; a collision adds a candidate.
@@ -243,7 +255,7 @@ def anchors(name: list[str]) -> set[tuple[bool, str, str]]:
             for k, other in enumerate(name):
                 if k not in (i, j):
                     found |= {(True, both, other), (True, other, both)}
-    return {(w, x, y) for w, x, y in found if len(x) >= 4}
+    return {(w, x, y) for w, x, y in found if len(x) >= 2}
 
 
 def probe_keys(token: str, nicknames: Nicknames) -> set[str]:

@@ -66,3 +66,13 @@ def test_large_blocks_lose_no_accepted_pair(spark):
     frame = spark.createDataFrame([(f,) for f in forms], "form string").repartition(3)
     for block in (1, 50):
         assert {(r["a"], r["b"]) for r in accepted_pairs(frame, NICK, block).collect()} == expected
+
+
+def test_short_family_names(spark):
+    for a, b in [("Bob Lee", "Robert Lee"), ("R. Lee", "Lee, Robert"), ("Kai Rae", "K. Rae")]:
+        assert same(a, b), (a, b)
+    for a, b in [("Bob Lee", "Robert Leo"), ("Ann Lee", "Robert Lee"), ("Bob Bergolanov", "Bob Mistokunden"), ("Bob B", "Bob Bergolanov")]:
+        assert not same(a, b), (a, b)
+    frame = spark.createDataFrame([(" ".join(tokens(n)),) for n in ("Bob Lee", "Robert Lee", "Kai Rae", "K Rae", "Bob Rae")], "form string")
+    for block in (1, 50):
+        assert {(r["a"], r["b"]) for r in accepted_pairs(frame, NICK, block).collect()} == {("bob lee", "lee robert"), ("k rae", "kai rae")}
