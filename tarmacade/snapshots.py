@@ -54,7 +54,8 @@ def _executed(values: dict[str, Any]) -> Callable[[SparkSession, str], DataFrame
 
 
 def snapshot_version(spark: SparkSession, sf: str) -> DataFrame:
-    return M.version(M.build(Catalog(spark, sf), "core"))
+    """Fingerprints of all snapshot tables, with the video tables."""
+    return M.version(M.build(Catalog(spark, sf)))
 
 
 def snapshot_upsert(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,7 +2,9 @@ from datetime import UTC, datetime, timedelta
 
 import pytest
 
+from tarmacade.operators import snapshot as M
 from tarmacade.operators.snapshot import upsert, version
+from tarmacade.snapshots import snapshot_version
 from tarmacade.sources.store import ImportRefused, Store
 from tarmacade.streaming.integrity import maintain_counts
 from tarmacade.streaming.sessions import fold, session_states
@@ -72,3 +74,8 @@ def test_streamed_sessions_and_counts(spark, tmp_path):
     deltas = spark.readStream.schema(delta).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/deltas")
     maintain_counts(deltas, f"{tmp_path}/counts", f"{tmp_path}/cp").awaitTermination(60)
     assert sorted((r["key"], r["refs"], r["exists"]) for r in spark.read.parquet(f"{tmp_path}/counts/1").collect()) == [("a", 2, 1), ("b", 0, 1)]
+
+
+def test_registered_version_covers_every_snapshot_table(spark):
+    found = {r[0] for r in snapshot_version(spark, "/root/testdata/sf0.001").select("table").collect()}
+    assert found == set(M.BUILDERS)
