@@ -1,9 +1,9 @@
 """Linking the spellings of one name: kernels on single names and pairs of names.
 
-A name is reduced to its tokens: one script, no marks, titles, numbers or punctuation, in sorted
-order, so that reordered parts are the same name. Names meet in blocks of tokens that are written
-or heard alike; inside a block they are compared token by token with Jaro-Winkler similarity,
-edit distance and a table of short given names.
+A name is reduced to its tokens: no marks, titles, numbers or punctuation, in sorted order, so
+that reordered parts are the same name. Letters of every script are kept; Cyrillic and Greek ones
+are written in Latin. Tokens are blocked by their phonetic codes; two names are compared token by
+token with Jaro-Winkler similarity, edit distance and a table of short given names.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from functools import lru_cache
 from itertools import permutations
 from zlib import crc32
 
+import regex
+
 # Cyrillic letters as they are written in Latin ones, letter by letter.
 CYRILLIC = {
     "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "j",
@@ -23,6 +25,11 @@ CYRILLIC = {
     "х": "h", "ц": "c", "ч": "ch", "ш": "sh", "щ": "sh", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "ju", "я": "ja",
     "і": "i", "ї": "i", "є": "e",
 }
+# Greek letters as they are written in Latin ones, letter by letter.
+GREEK = {
+    "α": "a", "β": "v", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "i", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m",
+    "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "y", "φ": "f", "χ": "ch", "ψ": "ps", "ω": "o",
+}
 # Letters that do not come apart into a base letter and a mark.
 LETTERS = {"ø": "o", "æ": "ae", "œ": "oe", "ß": "ss", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i"}
 # Words around a name that are no part of it, and entries that stand for no name.
@@ -33,24 +40,47 @@ RESPELT = [("ph", "f"), ("ck", "k"), ("x", "ks"), ("c", "k"), ("q", "k"), ("w",
 
 _DOUBLE = re.compile(r"(.)\1+")
 
+# Rows of a keyboard, each half a key to the right of the one above, and letters of
+# one sound or nearly so. Letters beside each other or in one group are typed for one another.
+KEYBOARD = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
+ONE_SOUND = ("aeiouy", "bp", "ckq", "dt", "fv", "gk", "ij", "mn", "sz", "vw", "lr")
+
 #: Jaro-Winkler similarity from which tokens can be alike.
 SIMILAR = 0.80
 
-_FOLD = str.maketrans(CYRILLIC | LETTERS | {"'": "", "’": "", "‘": "", "`": "", "´": "", "-": "", "‐": "", "‑": ""})
+#: A text of more words, or with a longer word, is no spelling of a name; it only links to the very
+#: same words.
+MOST_TOKENS, MOST_LETTERS = 8, 30
+
+_PLAIN = str.maketrans(CYRILLIC | GREEK)
+_FOLD = str.maketrans(LETTERS | {"'": "", "’": "", "‘": "", "`": "", "´": "", "-": "", "‐": "", "‑": ""})
 _TAIL = re.compile(r"\([^)]*\)|\[[^\]]*\]|#\s*\d+|[-–—,]?\s*\bcar\s*\d+", re.I)
-_CAMEL = re.compile(r"(?<=[^\W\d_A-Z])(?=[A-Z][^\W\d_A-Z])")
-_WORD = re.compile(r"[a-z]+")
+_CAMEL = regex.compile(r"(?<=\p{Ll})(?=\p{Lu}\p{Ll})")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def tokens(name: str | None) -> list[str]:
-    """The tokens of a name in sorted order; none for null, blank and stand-in names."""
+    """The tokens of a name in sorted order; none for null and blank names, for stand-ins (all
+    words say that there is no name) and for nothing but initials of an alphabet.
+
+    Titles are left out where at least two other words remain.
+    """
     if not name:
         return []
     name = "".join(c for c in unicodedata.normalize("NFKC", name) if unicodedata.category(c) != "Cf")
     name = _CAMEL.sub(" ", _TAIL.sub(" ", name)).lower().translate(_FOLD)
-    plain = "".join(c for c in unicodedata.normalize("NFD", name) if not unicodedata.combining(c))
-    words = [w for w in _WORD.findall(plain) if w not in TITLES]
-    return [] if any(w in NOBODY for w in words) or all(len(w) == 1 for w in words) else sorted(words)
+    # Marks come off after й has become a plain letter of its own, accents of Greek before.
+    name = "".join(c for c in unicodedata.normalize("NFD", name.translate(_PLAIN)) if not unicodedata.combining(c))
+    words = _WORD.findall(name.translate(_PLAIN))
+    if all(w in NOBODY for w in words) or all(len(w) == 1 and w.isascii() for w in words):
+        return []
+    bare = [w for w in words if w not in TITLES]
+    return sorted(bare if len(bare) >= 2 else words)
+
+
+def unspelt(name: list[str]) -> bool:
+    """Whether a text is too long to be a spelling of a name."""
+    return len(name) > MOST_TOKENS or any(len(w) > MOST_LETTERS for w in name)
 
 
 @lru_cache(maxsize=100_000)
@@ -111,15 +141,29 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
-def edits(a: str, b: str, most: int) -> int:
-    """Insertions, deletions, substitutions and swaps of neighbours; most + 1 if there are more."""
+def _confused() -> frozenset[tuple[str, str]]:
+    """The pairs of letters that are typed or heard for one another, in both orders."""
+    near = [row[i : i + 2] for row in KEYBOARD for i in range(len(row) - 1)]
+    near += [upper[i + k] + c for upper, lower in zip(KEYBOARD, KEYBOARD[1:]) for i, c in enumerate(lower) for k in (0, 1) if i + k < len(upper)]
+    return frozenset((x, y) for group in (*near, *ONE_SOUND) for x in group for y in group if x != y)
+
+
+CONFUSED = _confused()
+
+
+def edits(a: str, b: str, most: int, unlike: int = 1) -> int:
+    """Insertions, deletions, substitutions and swaps of neighbours; most + 1 if there are more.
+
+    A substitution of letters that aren't CONFUSED counts `unlike`.
+    """
     if abs(len(a) - len(b)) > most:
         return most + 1
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         now = [i]
         for j, y in enumerate(b, 1):
-            d = min(row[j] + 1, now[j - 1] + 1, row[j - 1] + (x != y))
+            change = 0 if x == y else 1 if unlike == 1 or (x, y) in CONFUSED else unlike
+            d = min(row[j] + 1, now[j - 1] + 1, row[j - 1] + change)
             if before and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 d = min(d, before[j - 2] + 1)
             now.append(d)
@@ -152,7 +196,10 @@ def _near(a: str, b: str, slack: int) -> bool:
     # More letters of one than t that the other lacks means more than t edits.
     if not t or abs(len(a) - len(b)) > t or (Counter(a) - Counter(b)).total() > t:
         return False
-    return jaro_winkler(a, b) >= SIMILAR - 0.05 * slack and edits(a, b, t) <= t
+    if jaro_winkler(a, b) < SIMILAR - 0.05 * slack or edits(a, b, t) > t:
+        return False
+    # One error may be any; of two, none may put a letter for one that has nothing to do with it.
+    return slack > 0 or t < 2 or edits(a, b, t, unlike=2) <= t
 
 
 def fits(a: str, b: str, nicknames: Nicknames, slack: int = 0) -> bool:
@@ -169,6 +216,8 @@ def fits(a: str, b: str, nicknames: Nicknames, slack: int = 0) -> bool:
         return False
     if len(short) == 3 and a[0] == b[0] and edits(a, b, 1) <= 1:
         return True
+    if nicknames.given(short) and not nicknames.given(long):
+        return False  # the table knows what it is short for
     return long.startswith(short) or (len(short) >= 4 and long.endswith(short))
 
 
@@ -176,20 +225,22 @@ def given_fit(a: list[str], b: list[str], nicknames: Nicknames, slack: int = 0)
     """Whether every token of the shorter list fits a different one of the longer list.
 
     An initial of the longer list only counts if no whole name is left over beside it: it is
-    then a middle initial, and what it seems to fit is another family name.
+    then a middle initial, and what it seems to fit is another family name. For the same reason
+    initials of both lists don't count for whole names of the other.
     """
     if len(a) > len(b):
         a, b = b, a
-    return bool(a) and _fit(a, b, False, nicknames, slack)
+    return bool(a) and _fit(a, b, False, False, nicknames, slack)
 
 
-def _fit(a: list[str], b: list[str], by_initial: bool, nicknames: Nicknames, slack: int) -> bool:
+def _fit(a: list[str], b: list[str], by_theirs: bool, by_mine: bool, nicknames: Nicknames, slack: int) -> bool:
     if not a:
-        return not (by_initial and any(len(x) > 1 for x in b))
+        return not (by_theirs and (by_mine or any(len(x) > 1 for x in b)))
     for i, x in enumerate(b):
         if fits(a[0], x, nicknames, slack):
-            initial = by_initial or (len(x) == 1 and len(a[0]) > 1)
-            if _fit(a[1:], b[:i] + b[i + 1 :], initial, nicknames, slack):
+            theirs = by_theirs or (len(x) == 1 and len(a[0]) > 1)
+            mine = by_mine or (len(x) > 1 and len(a[0]) == 1)
+            if _fit(a[1:], b[:i] + b[i + 1 :], theirs, mine, nicknames, slack):
                 return True
     return False
 
@@ -197,8 +248,11 @@ def _fit(a: list[str], b: list[str], by_initial: bool, nicknames: Nicknames, sla
 def same_name(a: list[str], b: list[str], nicknames: Nicknames, slack: int = 0) -> bool:
     """Whether two names, as sorted tokens, can be one: one token alike, the others fitting.
 
-    Names of different numbers of tokens are also tried with two tokens written as one.
+    Names of different numbers of tokens are also tried with two tokens written as one. Texts
+    that are no spelling of a name are the same only if they are equal.
     """
+    if unspelt(a) or unspelt(b):
+        return a == b
     if _anchored(a, b, nicknames, slack):
         return True
     if len(a) == len(b):
@@ -247,7 +301,10 @@ def anchors(name: list[str]) -> set[tuple[bool, str, str]]:
     """(joined, anchor, other token) of a name as `same_name` tries them.
 
     Those with two tokens written as one are marked joined: they only meet names that have none.
+    Texts that are no spelling of a name have none.
     """
+    if unspelt(name):
+        return set()
     found = {(False, x, y) for i, x in enumerate(name) for j, y in enumerate(name) if i != j}
     for i, j in permutations(range(len(name)), 2):
         if len(name[i]) > 1 and len(name[j]) > 1:
@@ -258,28 +315,7 @@ def anchors(name: list[str]) -> set[tuple[bool, str, str]]:
     return {(w, x, y) for w, x, y in found if len(x) >= 2}
 
 
-def probe_keys(token: str, nicknames: Nicknames) -> set[str]:
-    """Keys of a token, one of which is among the `held_keys` of each token that it `fits`, or the
-    other way round; full forms that are alike but not as heard the same have keys `n:` besides.
-    """
-    keys = _shared_keys(token, nicknames)
-    if len(token) == 1:
-        keys |= {f"i:{f[0]}" for f in nicknames.forms(token)}
-    if len(token) >= 3:
-        keys.add(f"p:{token}")
-    if len(token) >= 4:
-        keys.add(f"s:{token}")
-    return keys
-
-
-def held_keys(token: str, nicknames: Nicknames) -> set[str]:
-    keys = _shared_keys(token, nicknames) | {f"n:{f}" for f in nicknames.forms(token)} | {f"i:{f[0]}" for f in nicknames.forms(token)}
-    keys |= {f"p:{token[:k]}" for k in range(3, len(token) + 1)}
-    return keys | {f"s:{token[k:]}" for k in range(len(token) - 3)}
-
-
-def _shared_keys(token: str, nicknames: Nicknames) -> set[str]:
-    keys = {f"h:{sound(f)}" for f in nicknames.forms(token)}
-    if len(token) in (3, 4):  # three letters, one of them another
-        keys |= {f"3:{token}"} | {f"3:{token[:i]}{token[i + 1 :]}" for i in range(len(token))}
-    return keys
+def short_keys(word: str) -> set[str]:
+    """Keys that words of three or four letters share if they differ in one letter or one is a
+    letter longer."""
+    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))} if len(word) in (3, 4) else set()
