@@ -63,6 +63,42 @@ def quotas(supply: dict[str, int], shares: dict[str, float], repeats: dict[str,
     return made
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
+    """How many of `drawn` out of good + bad are good; any counts, where the library stops at 10^9.
+
+    Larger counts go through Devroye's generator for log-concave probabilities: a flat middle
+    with exponential tails around the mode, accepted in proportion to the exact probability.
+    """
+    if good + bad < 1_000_000_000:
+        return int(rng.hypergeometric(good, bad, drawn)) if drawn else 0
+    least, most = max(0, drawn - bad), min(good, drawn)
+    mode = min(most, max(least, (drawn + 1) * (good + 1) // (good + bad + 2)))
+
+    def log_weight(k: int) -> float:
+        return -(math.lgamma(k + 1) + math.lgamma(good - k + 1) + math.lgamma(drawn - k + 1) + math.lgamma(bad - drawn + k + 1))
+
+    top = log_weight(mode)
+    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    peak = math.exp(choose(good, mode) + choose(bad, drawn - mode) - choose(good + bad, drawn))
+    width = 1 + peak / 2
+    while True:
+        u, v, w, sign = rng.random(), rng.random(), rng.random(), rng.choice((-1, 1))
+        y = v * width / peak if u <= width / (1 + width) else (width - math.log(v or 5e-324)) / peak
+        k = mode + int(sign) * round(y)
+        if least <= k <= most and w * min(1.0, math.exp(width - peak * y)) <= math.exp(log_weight(k) - top):
+            return k
+
+
+def drawn_of(rng: np.random.Generator, blocks: np.ndarray, drawn: int) -> np.ndarray:
+    """A multivariate hypergeometric draw, source after source."""
+    left, out = int(blocks.sum()), []
+    for n in map(int, blocks):
+        left -= n
+        out.append(hypergeometric(rng, n, left, drawn))
+        drawn -= out[-1]
+    return np.array(out, dtype=np.int64)
+
+
 def leaf(shard: int, shards: int, blocks: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(blocks before, blocks of) a shard by source: the walk from the root to its leaf."""
     low, high, before, here, total = 0, shards, np.zeros_like(blocks), blocks, int(blocks.sum())
@@ -70,7 +106,7 @@ def leaf(shard: int, shards: int, blocks: np.ndarray, seed: int) -> tuple[np.nda
     while high - low > 1:
         middle = (low + high) // 2
         rng = np.random.default_rng([seed, low, high])
-        left = rng.multivariate_hypergeometric(here, even(middle) - even(low), method="marginals")
+        left = drawn_of(rng, here, even(middle) - even(low))
         if shard < middle:
             high, here = middle, left
         else:
@@ -138,7 +174,8 @@ def mix(items: DataFrame, targets: DataFrame, seed: int = 17, total_tokens: int
     used = planned.withColumn("repeats", uses).where("repeats > 0").withColumn("copy", F.explode(F.expr("sequence(0, repeats - 1)")))
     block = F.expr(f"(before + copy * supply) div {block_tokens}")
     slot = F.pmod(block * by(lambda q: q.factor) + by(lambda q: q.shift), by(lambda q: q.blocks))
-    placed = used.withColumn("slot", slot).join(slots(spark, plan, shards, seed), ["source", "slot"])
+    # One row per block: it grows with the input though the optimizer can't see it, so no broadcast.
+    placed = used.withColumn("slot", slot).join(slots(spark, plan, shards, seed).hint("merge"), ["source", "slot"])
     shuffled = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "copy"), "doc_id", "copy")
     return placed.withColumn("position", F.row_number().over(shuffled) - 1).select(
         "shard", "position", "doc_id", "source", "copy", "repeats", "tokens"

@@ -2,7 +2,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from tarmacade.llm.mixture import leaf, mix, share_report
+from tarmacade.llm.mixture import hypergeometric, leaf, mix, share_report
 
 ITEMS, TARGETS = "doc_id long, source string, tokens long", "source string, target_share double, max_repeats int"
 
@@ -61,3 +61,34 @@ def test_leaves_of_the_tree_add_up():
     for (b0, h0), (b1, _) in zip(leaves, leaves[1:]):
         assert np.array_equal(b0 + h0, b1)
     assert max(h.sum() for _, h in leaves) - min(h.sum() for _, h in leaves) <= 1
+
+
+def test_more_blocks_than_the_library_draws():
+    blocks = np.array([10**10, 3 * 10**9, 7, 0])
+    leaves = [leaf(k, 5, blocks, 3) for k in range(5)]
+    assert np.array_equal(sum(h for _, h in leaves), blocks)
+    share = np.array([h[0] / h.sum() for _, h in leaves])
+    assert abs(share - 10 / 13).max() < 1e-4 and len({int(h[0]) for _, h in leaves}) > 1
+
+
+def test_large_draws_have_the_right_mean_and_spread():
+    rng, good, bad, drawn = np.random.default_rng(1), 6 * 10**8, 9 * 10**8, 4 * 10**5
+    found = np.array([hypergeometric(rng, good, bad, drawn) for _ in range(4000)])
+    p = good / (good + bad)
+    mean, spread = drawn * p, (drawn * p * (1 - p) * (good + bad - drawn) / (good + bad - 1)) ** 0.5
+    assert abs(found.mean() - mean) < 4 * spread / 4000**0.5 and abs(found.std() / spread - 1) < 0.05
+
+
+def test_small_large_draws_follow_the_exact_distribution():
+    rng, n = np.random.default_rng(2), 20_000
+    found = Counter(hypergeometric(rng, 5, 10**9, 4 * 10**8) for _ in range(n))
+    for k in range(6):  # as good as binomial
+        expected = [0.07776, 0.2592, 0.3456, 0.2304, 0.0768, 0.01024][k]
+        assert abs(found[k] / n - expected) < 5 * (expected / n) ** 0.5
+
+
+def test_the_blocks_are_not_broadcast(spark):
+    _, items = made(spark)
+    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 1)], TARGETS)
+    plan = mix(items, targets, block_tokens=50, shard_tokens=300)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
