@@ -4,9 +4,12 @@ Statistics are counted per line with array operations: the lines of many texts l
 of code points, a lookup table gives each its class, and sums between line starts give lengths,
 letters, vowels, symbols, separators. Words are recognised as common by a rolling hash. Fixed
 thresholds then give every line a kind and a reason; a text is what most of its characters are,
-and the reasons of its lines are recorded with it. Word count, mean word length, symbol ratio
-and the shares of bullet, ellipsis and punctuated lines are those of the published heuristics
-for web text, whose failures are recorded as well.
+and the reasons of its lines are recorded with it. Texts of several kinds are told apart by
+characters, so the published thresholds for web text (symbols per word, mean word length, words
+with a letter, bullets, lines of fewer than five words, duplicate lines) are applied to lines, each
+a small text; failures of whole texts are recorded as well. General rules of our own add what
+the published ones don't name: tables, markup, logs, broken encodings, filler. RULES tells which
+is which.
 
 Lines are judged whatever their length, and each text as a whole; there are no prefixes.
 """
@@ -33,12 +36,6 @@ il lo gli di che è e per non si della dei nella alla più ma ha hanno sono
 ja oli ei että joka ovat mutta kun kuin ennen alle niin sekä
 """.split()
 
-# Labels of web pages that are left over when text is cut out of them.
-PAGE_LABELS = [
-    "Accept cookies", "Ad choices", "Read more...", "Back to top", "Subscribe!", "all rights reserved",
-    "(0) comments", "Page 1 of", "Next ›", "‹ Prev", "Menu ≡", "Home »", "Login", "Register", "Share", "Tweet",
-]
-
 LETTER, LATIN, VOWEL, DIGIT, SPACE, SYMBOL, BROKEN, UPPER = (1 << i for i in range(8))
 KINDS = ("prose", "list", "table", "junk")
 PROSE, LIST, TABLE, JUNK = range(4)
@@ -46,12 +43,19 @@ PROSE, LIST, TABLE, JUNK = range(4)
 #: Characters handled at once; bounds the memory of a worker, except for single longer texts.
 CHUNK = 400_000
 
-# Fixed thresholds of the rules.
+# Thresholds of the published heuristics for web text.
+MOST_SYMBOLS = 0.1  # per word
+LEAST_WORD, MOST_WORD = 3, 10  # mean word length
+LEAST_ALPHABETIC = 0.8  # tokens with a letter
+SHORT_ITEM_WORDS = 5  # a line of fewer words without final punctuation is no sentence
+MOST_DUPLICATE_LINES = 0.3
+
+# Fixed thresholds of the other rules.
 LONG_TOKEN = 35
 FEWEST_VOWELS = 0.25
 BROKEN_SHARE = 0.03
 TOP_WORD_SHARE = 0.15
-SHORT_ITEM_WORDS = 5
+MOST_COMMON = 0.55
 RULING_SHARE = 0.3
 CONSONANT_RUNS = 0.3
 
@@ -63,11 +67,10 @@ _CODE = re.compile(
 _MARKUP_TABLE = re.compile(r"</?(?:table|thead|tbody|tr|td|th)\b", re.I)
 _RULER = re.compile(r"^[\s|+=:_-]{4,}$")
 _HEX = re.compile(r"^\s*[0-9a-fA-F]{6,16}:?\s+(?:[0-9a-fA-F]{2,4}\s+){4}")
-_BULLET = re.compile(r"^\s*(?:[-–—•*+>▪◦·‣●○■□✓✔→]|\[[ xX]\]|\(?\d{1,4}[.)]|\(?[A-Za-z][.)]|[ivxIVX]{1,5}[.)]|SS ?\d+ ?[–:-])\s+\S")
+_BULLET = re.compile(r"^\s*(?:[-–—•*+>▪◦·‣●○■□✓✔→]|\[[ xX]\]|\(?[1-9]\d{0,3}[.)]|\(?[A-Za-z][.)]|[ivxIVX]{1,5}[.)])\s+\S")
 _PAIR = re.compile(r"^\s*[^\W\d_][\w ]{0,24}:\s+\S.{0,45}$")
 _GLOSS = re.compile(r"^\s*[^\W\d_][\w' -]{1,30}(?: [–=—-] \S|: (?:an?|the) ).*[^.!?…\s]\s*$")
 _ITEMS = re.compile(r" / | · |; | \| | • |, ")
-_LABELS = re.compile("|".join(map(re.escape, PAGE_LABELS)))
 _SENTENCE_END = frozenset(".!?…")
 
 _BASE, _MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
@@ -216,6 +219,8 @@ class Lines:
         size = e - s
         self.long_chars = np.bincount(line, weights=np.where(size >= LONG_TOKEN, size, 0), minlength=n)[self.keep]
         first, second = self.codes[s], self.codes[np.minimum(s + 1, len(self.codes) - 1)]
+        letters = np.concatenate([[0], np.cumsum((self.flags & LETTER) > 0)])
+        self.alphabetic = np.bincount(line, weights=letters[e] > letters[s], minlength=n)[self.keep]
         is_letter = (self.flags[np.minimum(s + 1, len(self.codes) - 1)] & LETTER) > 0
         leading = ((first == 46) | (first == 44)) & is_letter & (second > 0)
         self.leading = np.bincount(line, weights=leading, minlength=n)[self.keep]
@@ -288,14 +293,22 @@ def _grouped(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[~new], many
 
 
-#: The reason recorded with each rule, in the order in which the rules are tried.
-REASONS = (
-    "prose", "log line", "code or page markup", "unbroken token", "broken encoding", "symbols", "page labels", "memory dump",
-    "table markup", "cells between bars", "cells between tabs", "cells between separators", "aligned cells",
-    "repeated word", "double gaps", "bullet", "few vowels", "reversed", "inline items", "name and value", "definition",
-    "short item", "repeated sentence", "repeated line",
+#: The rules of lines in the order in which they are tried: the reason recorded, what a line that
+#: fails it is, and whether its threshold is one of the published ones or an addition of ours.
+RULES = (
+    ("prose", PROSE, False),
+    ("log line", JUNK, False), ("code or page markup", JUNK, False), ("memory dump", JUNK, False), ("unbroken token", JUNK, False),
+    ("broken encoding", JUNK, False), ("symbols", JUNK, False),
+    ("table markup", TABLE, False), ("cells between bars", TABLE, False), ("cells between tabs", TABLE, False), ("cells between separators", TABLE, False),
+    ("double gaps", JUNK, False), ("aligned cells", TABLE, False), ("repeated word", JUNK, False),
+    ("bullet", LIST, True), ("few vowels", JUNK, False), ("reversed", JUNK, False), ("inline items", LIST, False),
+    ("more than 0.1 symbols per word", JUNK, True), ("mean word length outside 3 to 10", JUNK, True), ("fewer than 0.8 of words with a letter", JUNK, True),
+    ("more common words than prose has", JUNK, False), ("duplicate lines", JUNK, True),
+    ("name and value", LIST, False), ("definition", LIST, False), ("fewer than 5 words and no end of a sentence", LIST, True),
+    ("repeated sentence", JUNK, False),
 )
-KIND_OF = np.array([PROSE, JUNK, JUNK, JUNK, JUNK, JUNK, JUNK, JUNK, TABLE, TABLE, TABLE, TABLE, TABLE, JUNK, JUNK, LIST, JUNK, JUNK, LIST, LIST, LIST, LIST, JUNK, JUNK])
+REASONS = tuple(reason for reason, _, _ in RULES)
+KIND_OF = np.array([kind for _, kind, _ in RULES])
 
 
 def judge(lines: Lines) -> np.ndarray:
@@ -317,7 +330,6 @@ def judge(lines: Lines) -> np.ndarray:
 
     rule("log line", match(_LOG, open_ & (digits >= 14)))
     markup = match(_MARKUP_TABLE, open_ & (lines.has("<") > 0))
-    labels = np.array([sum(len(x.replace(" ", "")) for x in _LABELS.findall(t)) if m else 0 for t, m in zip(lines.text, open_)])
     rule("code or page markup", ~markup & match(_CODE, odd | (open_ & (lines.has("(") > 0))))
     rule("memory dump", match(_HEX, open_ & (digits >= 6)))
     ruler = match(_RULER, open_ & (letters == 0) & (length >= 4))
@@ -325,7 +337,6 @@ def judge(lines: Lines) -> np.ndarray:
     broken = lines.flagged(BROKEN)
     rule("broken encoding", (broken > BROKEN_SHARE * length) & (broken >= 2))
     rule("symbols", open_ & (letters + digits < 0.25 * length) & ~ruler & ~markup)
-    rule("page labels", labels > 0.5 * length)
     rule("table markup", markup)
     rule("cells between bars", open_ & ((bars >= 2) | ruler))
     rule("cells between tabs", open_ & (tabs >= 1) & (lines.tokens >= 2))
@@ -345,18 +356,24 @@ def judge(lines: Lines) -> np.ndarray:
     items = np.array([len(_ITEMS.findall(t)) if m else 0 for t, m in zip(lines.text, open_ & (share < 0.15) & (lines.words >= 4))])
     rule("inline items", (items >= 4) & (tokens < 5.0 * (items + 1)) & (lines.stops <= 1))
     loose = ~lines.ends_sentence
-    rule("repeated line", loose & (lines.times >= 4) & (lines.words <= 12) & ~match(_PAIR, loose & (lines.times >= 4)))
+    full = lines.words >= 8
+    rule("more than 0.1 symbols per word", full & (lines.flagged(SYMBOL) > MOST_SYMBOLS * words))
+    mean = lines.word_chars / words
+    rule("mean word length outside 3 to 10", full & ((mean < LEAST_WORD) | (mean > MOST_WORD)))
+    rule("fewer than 0.8 of words with a letter", full & loose & (lines.alphabetic < LEAST_ALPHABETIC * tokens) & (share < 0.2))
+    rule("more common words than prose has", (lines.words >= 12) & (share > MOST_COMMON))
+    rule("duplicate lines", loose & (lines.times >= 4) & (lines.words <= 12) & ~match(_PAIR, loose & (lines.times >= 4)))
     rule("name and value", match(_PAIR, loose & (lines.words <= 8) & (share < 0.35)))
     rule("definition", match(_GLOSS, loose & (lines.words <= 20)))
     names = (lines.capitals == lines.words) | (lines.words <= 2)
-    rule("short item", loose & (lines.words <= SHORT_ITEM_WORDS) & names & (lines.words + digits > 0) & (share < 0.3) & (length < 60))
+    rule("fewer than 5 words and no end of a sentence", loose & (lines.words <= SHORT_ITEM_WORDS) & names & (lines.words + digits > 0) & (share < 0.3) & (length < 60))
     rule("repeated sentence", lines.repeated > 0.5 * length)
     return _as_headings(lines, reason)
 
 
 def _as_headings(lines: Lines, reason: np.ndarray) -> np.ndarray:
     """Single short lines next to prose only, such as headings and ends of wrapped lines, are prose."""
-    weak = np.isin(reason, [REASONS.index("short item"), REASONS.index("name and value")])
+    weak = np.isin(reason, [REASONS.index("fewer than 5 words and no end of a sentence"), REASONS.index("name and value")])
     n = len(reason)
     if not n:
         return reason
@@ -388,11 +405,13 @@ def published_failures(f: dict[str, np.ndarray]) -> list[tuple[str, np.ndarray]]
     """The published document rules for web prose that a text fails, with their thresholds."""
     return [
         ("fewer than 50 or more than 100000 words", (f["n_words"] < 50) | (f["n_words"] > 100_000)),
-        ("mean word length outside 3 to 10", (f["mean_word_length"] < 3) | (f["mean_word_length"] > 10)),
-        ("more than 0.1 symbols per word", f["symbol_ratio"] > 0.1),
+        ("mean word length outside 3 to 10", (f["mean_word_length"] < LEAST_WORD) | (f["mean_word_length"] > MOST_WORD)),
+        ("more than 0.1 symbols per word", f["symbol_ratio"] > MOST_SYMBOLS),
         ("more than 0.9 of lines are bullets", f["bullet_lines"] > 0.9),
         ("more than 0.3 of lines end in an ellipsis", f["ellipsis_lines"] > 0.3),
         ("fewer than 2 common words", f["common"] < 2),
+        ("fewer than 0.8 of words with a letter", f["alphabetic"] < LEAST_ALPHABETIC),
+        ("more than 0.3 of lines are duplicates", f["duplicates"] > MOST_DUPLICATE_LINES),
     ]
 
 
@@ -412,16 +431,18 @@ def document_statistics(texts: list[str]) -> pd.DataFrame:
         "bullet_lines": by(reason == REASONS.index("bullet")) / n_lines,
         "ellipsis_lines": by(lines.ends_ellipsis) / n_lines,
         "common": by(lines.common),
+        "alphabetic": by(lines.alphabetic) / np.maximum(by(lines.tokens), 1),
+        "duplicates": by(1 - 1 / np.maximum(lines.times, 1)) / n_lines,
     }
     total = chars.sum(axis=0)
     form = np.where(chars[0] * 2 >= total, PROSE, 1 + np.argmax(chars[1:], axis=0))
     reasons: list[list[str]] = [[] for _ in range(n)]
     for d, r in np.unique(np.stack([lines.doc, reason], axis=1)[reason > 0], axis=0):
-        reasons[d].append(f"{KINDS[KIND_OF[r]]}: {REASONS[r]}")
+        reasons[d].append(f"{KINDS[KIND_OF[r]]}: {REASONS[r]}{' (published)' if RULES[r][2] else ''}")
     for name, mask in published_failures(f):
         for d in np.flatnonzero(mask & (total > 0)):
             reasons[d].append(f"rule: {name}")
-    frame = pd.DataFrame({k: f[k] for k in list(f)[:-1]} | {"common_words": f["common"] / np.maximum(words, 1)})
+    frame = pd.DataFrame({k: f[k] for k in COLUMNS if k in f} | {"common_words": f["common"] / np.maximum(words, 1)})
     for k, name in enumerate(KINDS):
         frame[f"{name}_chars"] = chars[k].astype(np.int64)
     frame["form"] = np.where(total > 0, np.array(KINDS, dtype=object)[form], None)

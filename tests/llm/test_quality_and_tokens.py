@@ -16,6 +16,7 @@ CASES = {
     "junk log": "2025-01-02 10:11:12,345 WARN [pool-1] q.Run:12 code=0x12\n2025-01-02 10:11:13,345 INFO [pool-2] q.Run:13 code=0x13",
     "junk code": "function f(a,b){return a[1]||b;}\n<div class=\"c\"><span></span></div>", "junk repeated": "go go go go go go go go go go go go",
     "junk base64": "qRzEa9NvMl4zGyBFrTMTgLk12e/4dp3Ay3iaFLS2eKHb4eMemvrKiFG/58sPc4bq", "junk encoding": "Ã©Ã¸Ã©Ã§Ã±Ã Ã©Ã¶Ã¥Ã±", "junk symbols": "★👍$@★~§/👍💨%^=🏁🏁▲>",
+    "junk labels": "‹ Back Page 1 of 3 Share Menu ≡ © all rights reserved Next › Home » Top ▲", "junk filler": "of the best of the and more of it is to be in the best of that for you and the of it is in the",
     "junk vowels": "Th rn cm rly nd mst f th drvrs hd chsn th wrng tyrs fr th frst stg", "junk sentences": "\n".join(["The road was swept before the first car came through."] * 9),
 }
 
@@ -33,7 +34,7 @@ def test_what_there_is_more_of_decides():
 def test_statistics_of_one_text():
     s = document_statistics(["Aa bb the.\n\n- x z"]).iloc[0]
     assert (s.n_words, s.bullet_lines, s.punctuated_lines) == (5, 0.5, 0.5) and s.common_words == 0.2
-    assert any(r.startswith("rule: fewer than 50") for r in s.reasons) and "list: bullet" in s.reasons
+    assert any(r.startswith("rule: fewer than 50") for r in s.reasons) and "list: bullet (published)" in s.reasons
 
 
 def test_null_blank_long_and_odd_texts(spark):
