@@ -48,8 +48,8 @@ def instant_or_text(value: Column | str) -> Column:
 
 
 def leading_number(value: Column | str) -> Column:
-    """The digits a string starts with, as an int, 0 if there are none (lenient numeric cast)."""
-    digits = F.regexp_extract(as_column(value), r"^\s*(\d{1,9})", 1)
+    """The digits a string starts with, as an int, 0 if there are none or they exceed an int."""
+    digits = F.regexp_extract(as_column(value), r"^\s*(\d+)", 1)
     return F.coalesce(digits.try_cast("int"), F.lit(0))
 
 

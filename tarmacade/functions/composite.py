@@ -1,25 +1,51 @@
-"""The composite score of a mention against an entity's name, and Latin variants of Arabic script.
+"""The composite score of a mention against an entity's name.
 
-A ladder of equalities comes first (whole name, without year, without blanks, without generic
-words, as heard); below it blends of similarities, with separate branches for people's names.
-Pure functions on strings, for vectorised use through `kernels.pairwise`.
+A name is reduced to its `forms` once, however many pairs it is in. A pair's score is then an
+expression over the two sets of forms: a ladder of equalities, and below it blends of
+similarities, which BLENDS lists as weights. Only Jaro-Winkler and multiset Dice need Python;
+`likeness` computes them for all forms of a pair in one vectorised call, and everything that
+decides stays in generated code.
+
+Names in Arabic script are compared by their Latin readings (`latin_variants`), a bounded list
+that is made once per mention.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from functools import lru_cache
 from itertools import product
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from tarmacade.functions import text as T
 from tarmacade.functions.kernels import dice, jaro_winkler
-from tarmacade.functions.text import DESCRIPTORS, DOUBLE, MARKED, SOUNDEX
 
-_FOLD = str.maketrans(MARKED | DOUBLE)
-_YEAR = re.compile(r"\b(?:19|20)\d{2}\b")
-_GENERIC = re.compile(rf"\b(?:{DESCRIPTORS})\b")
+# Scores of equal forms, best first.
+EQUAL = {"norm": 1.0, "base": 0.96, "flat": 0.95, "core": 0.94, "core_heard": 0.93, "flat_heard": 0.93}
+# Factor, then weights of Jaro-Winkler, edit similarity, Dice of pairs and of triples.
+BLENDS = {
+    "norm": (1.0, 0.35, 0.25, 0.20, 0.10),
+    "base": (1.0, 0.45, 0.30, 0.25, 0.0),
+    "core": (1.0, 0.45, 0.30, 0.25, 0.0),
+    "flat": (0.90, 0.60, 0.0, 0.40, 0.0),
+    "flat_heard": (0.92, 0.50, 0.30, 0.20, 0.0),
+    "core_heard": (0.94, 0.50, 0.30, 0.20, 0.0),
+}
+# The blend of given or family names, that of a phrase within a name, and its factors.
+PERSON, PHRASE = (1.0, 0.50, 0.30, 0.20, 0.0), (0.55, 0.30, 0.15)
+WINDOW, JOINED, JOINED_WEIGHTS, SHORTEST_WORD, SHORTEST_JOINED = 0.98, 0.95, (0.50, 0.30, 0.20), 3, 4
+# Bounds and weights of people's names, boosts, and scores of other years and scripts.
+LEAST_FAMILY, OTHER_FAMILY, LEAST_GIVEN, OTHER_GIVEN, PART_OF_FAMILY, HEARD_FAMILY = 0.78, 0.55, 0.75, 0.60, 0.95, 0.95
+FAMILY_WEIGHT, GIVEN_WEIGHT, ONLY_FAMILY, LEAST_ONLY_FAMILY = 0.65, 0.35, 0.90, 0.80
+SAME_WORDS, SAME_SOUND, BEGINS, WITHIN, LONGEST_WITHIN = 0.10, 0.03, 0.12, 0.08, 100
+OTHER_YEAR, SAME_YEAR, IN_CONTEXT, BOOSTED_FROM = 0.25, 0.20, 0.15, 0.45
+READ_EQUAL, READ_FLAT, READ_WITHIN = 0.94, 0.93, 6
 # Additions to a family name that don't tell people apart.
-SUFFIXES = frozenset(("jr", "jnr", "junior", "sr", "snr", "senior", "ii", "iii", "iv"))
+SUFFIXES = ("jr", "jnr", "junior", "sr", "snr", "senior", "ii", "iii", "iv")
+
 # Latin readings of Arabic and Urdu letters, the most usual first.
 READINGS = {
     "ا": ("a", ""), "ب": ("b", "p"), "پ": ("p",), "ت": ("t",), "ٹ": ("t",), "ث": ("th", "s"), "ج": ("j", "g"), "چ": ("ch",), "ح": ("h",), "خ": ("kh", "h"),
@@ -31,41 +57,74 @@ READINGS = {
 PER_WORD, PER_PHRASE = 25, 60
 # Letters of other shapes of the same letter.
 _SHAPES = str.maketrans("أإآٱىيكةؤ", "ااااییکہو")
+ARABIC = r"[؀-ۿݐ-ݿ]"
+
+_FORMS = tuple(BLENDS)
+
+
+def forms(name: Column) -> Column:
+    """What is compared of a name, as a struct; all fields are empty, never null."""
+    text = F.coalesce(name, F.lit(""))
+    norm = T.normalize(text)
+    base, bare = T.strip_year(text), T.strip_descriptors(T.strip_year(text))
+    flat = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    words = F.filter(F.split(F.when(bare != "", bare).when(base != "", base).otherwise(norm), " "), lambda w: w != "")
+    own = F.filter(words, lambda w: ~w.isin(*SUFFIXES))
+    return F.struct(
+        norm.alias("norm"), base.alias("base"), flat(norm).alias("flat"), flat(bare).alias("core"),
+        T.acoustic_fold(flat(bare)).alias("core_heard"), T.acoustic_fold(flat(norm)).alias("flat_heard"),
+        words.alias("words"), F.when(F.size(own) > 0, own).otherwise(words).alias("names"),
+        norm.rlike(rf"\b({T.DESCRIPTORS})\b").alias("generic"), T.extract_year(text).alias("year"),
+        T.soundex(norm).alias("soundex"), _readings(F.when(text.rlike(ARABIC), text)).alias("readings"),
+    )
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Jaro-Winkler, edit similarity and Dice of pairs and triples for each two texts of two lists."""
+
+    @F.pandas_udf("array<array<double>>")
+    def measure(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([[_measures(x, y) for x, y in zip(xs, ys)] for xs, ys in zip(a, b)], dtype=object)
+
+    return measure(a, b)
 
 
-@lru_cache(maxsize=50_000)
-def norm(text: str) -> str:
-    t = unicodedata.normalize("NFC", text).lower().translate(_FOLD)
-    t = re.sub(r"([a-z])(?=\d)|(\d)(?=[a-z])", r"\g<0> ", t)
-    return " ".join("".join(c if c.isalnum() else " " for c in t).split())
+def closest(phrase: Column, options: Column, weights: tuple[float, ...]) -> Column:
+    """The best blend (weights of Jaro-Winkler, edits, Dice of pairs) of a phrase and some options; 0 for none."""
 
+    @F.pandas_udf("double")
+    def best(phrases: pd.Series, options: pd.Series) -> pd.Series:
+        return pd.Series([max((sum(w * m for w, m in zip(weights, _measures(p, o))) for o in os), default=0.0) for p, os in zip(phrases, options)], dtype="float64")
 
-def heard(text: str) -> str:
-    """x as ks, ph as f, ck as k, doubled consonants once."""
-    for a, b in (("x", "ks"), ("ph", "f"), ("ck", "k")):
-        text = text.replace(a, b)
-    return re.sub(r"([b-df-hj-np-tv-z])\1+", r"\1", text)
+    return best(phrase, options)
 
 
-def closeness(a: str, b: str) -> float:
+@lru_cache(maxsize=200_000)
+def _measures(a: str, b: str) -> list[float]:
+    return [jaro_winkler(a, b), edit_similarity(a, b), dice(a, b, 2), dice(a, b, 3)]
+
+
+def edit_similarity(a: str, b: str) -> float:
     """1 - edits / longer length; 0 if either is empty."""
     if not a or not b:
         return 0.0
-    row = list(range(len(b) + 1))
+    costs = range(len(b) + 1)
     for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y)))
-        row = now
-    return 1.0 - row[-1] / max(len(a), len(b))
+        row = [i]
+        for j, y in enumerate(b):
+            row.append(min(costs[j + 1], row[j]) + 1 if x != y else costs[j])
+            row[-1] = min(row[-1], costs[j] + (x != y))
+        costs = row
+    return 1.0 - costs[-1] / max(len(a), len(b))
 
 
-def blend(a: str, b: str, jw: float, lev: float, two: float) -> float:
-    return jw * jaro_winkler(a, b) + lev * closeness(a, b) + two * dice(a, b, 2)
+def _readings(text: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def read(texts: pd.Series) -> pd.Series:
+        return pd.Series([latin_variants(t) if t else [] for t in texts], dtype=object)
 
-
-def is_arabic(text: str) -> bool:
-    return any("؀" <= c <= "ۿ" or "ݐ" <= c <= "ݿ" for c in text)
+    # Texts in other scripts are null here; the list is empty for them.
+    return read(text)
 
 
 def latin_variants(text: str) -> list[str]:
@@ -82,115 +141,87 @@ def latin_variants(text: str) -> list[str]:
     return list(dict.fromkeys(" ".join(p).strip() for p, _ in zip(product(*each), range(PER_PHRASE)))) if each else []
 
 
-def _soundex(text: str) -> str:
-    letters = [c for c in text.upper() if c.isascii() and c.isalpha()]
-    digits = [SOUNDEX.get(c, "0") for c in letters]
-    kept = [d for i, d in enumerate(digits) if i and d != "0" and d != digits[i - 1]]
-    return (letters[0] + "".join(kept) + "000")[:4] if letters else ""
-
-
-class _Forms:
-    """The forms of one side that the score compares."""
-
-    def __init__(self, text: str) -> None:
-        self.norm = norm(text)
-        self.base = " ".join(_YEAR.sub(" ", self.norm).split())
-        self.col = self.norm.replace(" ", "")
-        bare = " ".join(_GENERIC.sub(" ", self.base).split())
-        self.core = bare.replace(" ", "")
-        self.words = (bare or self.base or self.norm).split()
-        self.generic = bool(_GENERIC.search(self.norm))
-        years = _YEAR.findall(text)
-        self.year = int(years[0]) if years else None
-
-
-def _ladder(q: _Forms, c: _Forms) -> float:
-    if q.norm == c.norm:
-        return 1.0
-    steps = [(q.base, c.base, 0.96), (q.col, c.col, 0.95), (q.core, c.core, 0.94), (heard(q.core), heard(c.core), 0.93), (heard(q.col), heard(c.col), 0.93)]
-    return next((score for a, b, score in steps if a and a == b), 0.0)
-
-
-def _windows(q: list[str], c: list[str]) -> float:
-    best = 0.0
-    if len(q) == 1:
-        best = max((blend(q[0], w, 0.55, 0.30, 0.15) for w in c if len(w) >= 3 and len(q[0]) >= 3), default=0.0)
-    elif q and len(q) <= len(c):
-        n, phrase = len(q), " ".join(q)
-        best = max(blend(phrase, " ".join(c[i : i + n]), 0.55, 0.30, 0.15) for i in range(len(c) - n + 1))
-    if len(q) >= 2:
-        joined = heard("".join(q))
-        best = max([best, *(0.95 * blend(joined, heard(w), 0.50, 0.30, 0.20) for w in c if len(w) >= 4)])
-    return best
-
-
-def _person(q: list[str], c: list[str]) -> float:
-    """First and family names of both sides: a wrong family name or first name bounds the score."""
-    first = blend(q[0], c[0], 0.50, 0.30, 0.20)
-    a, b = q[-1], c[-1]
-    if a == b:
-        last = 1.0
-    elif a in b or b in a:
-        last = 0.95
-    else:
-        x, y = heard(a), heard(b)
-        last = max(blend(a, b, 0.50, 0.30, 0.20), 0.95 * (jaro_winkler(x, y) + closeness(x, y)) / 2)
-    if last < 0.78:
-        return min(0.55, first * last)
-    return min(0.60, 0.60 * last + 0.40 * first) if first < 0.75 else 0.65 * last + 0.35 * first
-
-
-def _general(q: _Forms, c: _Forms, window: float) -> float:
-    a, b = set(q.norm.split()), set(c.norm.split())
-    bonus = 0.03 if _soundex(q.norm) == _soundex(c.norm) else 0.0
-    if len(a) == 1 or len(b) == 1:
-        if q.norm.startswith(c.norm) or c.norm.startswith(q.norm):
-            bonus += 0.12
-        elif q.norm in c.norm:
-            bonus += 0.08 * len(q.norm) / min(100, max(1, len(c.norm)))
-    full = blend(q.norm, c.norm, 0.35, 0.25, 0.20) + 0.10 * dice(q.norm, c.norm, 3) + 0.10 * len(a & b) / len(a | b) + bonus
-    return max(
-        full, blend(q.base, c.base, 0.45, 0.30, 0.25), blend(q.core, c.core, 0.45, 0.30, 0.25),
-        0.90 * (0.60 * jaro_winkler(q.col, c.col) + 0.40 * dice(q.col, c.col, 2)), 0.98 * window,
-        0.92 * blend(heard(q.col), heard(c.col), 0.50, 0.30, 0.20), 0.94 * blend(heard(q.core), heard(c.core), 0.50, 0.30, 0.20),
-    )
-
-
-def _by_script(text: str, c: _Forms) -> float:
-    best = 0.0
-    for v in latin_variants(text):
-        q = _Forms(v)
-        if not q.norm:
-            continue
-        if q.norm == c.norm or q.base == c.base or (q.core and q.core == c.core):
-            score = 0.94
-        elif q.col == c.col or (len(q.col) >= 6 and q.col in c.col):
-            score = 0.93
-        else:
-            score = max(blend(q.norm, c.norm, 0.40, 0.30, 0.30), 0.90 * jaro_winkler(q.base, c.base), 0.90 * jaro_winkler(q.core, c.core), 0.85 * jaro_winkler(q.col, c.col))
-        best = max(best, score)
-    return best
-
-
-def composite(query: str, name: str, person: bool = False) -> float:
-    """The score in 0..1 to three decimals; 0.25 if both name different years, 0 for empty sides."""
-    q, c = _Forms(query), _Forms(name)
-    if not c.norm or not (q.norm or is_arabic(query)):
-        return 0.0
-    if q.year and c.year and q.year != c.year:
-        return 0.25
-    score = _ladder(q, c)
-    if not score:
-        mine, theirs = ([w for w in x.words if w not in SUFFIXES] or x.words for x in (q, c))
-        people = person and not q.generic and not c.generic
-        if people and len(mine) >= 2 and len(theirs) >= 2:
-            score = _person(mine, theirs)
-        elif people and len(mine) == 1 and len(theirs) >= 2:
-            near = blend(mine[0], theirs[-1], 0.50, 0.30, 0.20)
-            score = 0.90 * near if near >= 0.80 else 0.0
-        else:
-            score = _general(q, c, _windows(q.words, c.words))
-        if is_arabic(query):
-            score = max(score, _by_script(query, c))
-    score = min(1.0, max(0.0, score))
-    return round(min(1.0, score + 0.20), 3) if score >= 0.45 and q.year and q.year == c.year else round(score, 3)
+def _by_reading(reading: str, norm: str, base: str, core: str, flat: str) -> float:
+    joined = reading.replace(" ", "")
+    if reading in (norm, base) or (core and joined == core):
+        return READ_EQUAL
+    if joined == flat or (len(joined) >= READ_WITHIN and joined in flat):
+        return READ_FLAT
+    jw, edit, two, _ = _measures(reading, norm)
+    return max(0.40 * jw + 0.30 * edit + 0.30 * two, 0.90 * jaro_winkler(reading, base), 0.90 * jaro_winkler(joined, core), 0.85 * jaro_winkler(joined, flat))
+
+
+def by_readings(readings: Column, *forms: Column) -> Column:
+    """The best score of a mention's Latin readings against a name's forms; 0 without readings."""
+
+    @F.pandas_udf("double")
+    def best(readings: pd.Series, norm: pd.Series, base: pd.Series, core: pd.Series, flat: pd.Series) -> pd.Series:
+        return pd.Series([max((_by_reading(r, *row) for r in rs if r), default=0.0) for rs, *row in zip(readings, norm, base, core, flat)], dtype="float64")
+
+    return best(readings, *forms)
+
+
+def _blend(measured: Column, weights: tuple[float, ...]) -> Column:
+    factor, *each = weights
+    return factor * sum((w * measured[i] for i, w in enumerate(each) if w), F.lit(0.0))
+
+
+def _within(q: Column, c: Column) -> Column:
+    """The best likeness of the mention's words to as many neighbouring words of the name."""
+    mine, theirs = q["words"], c["words"]
+    n, m = F.size(mine), F.size(theirs)
+    long = F.filter(theirs, lambda w: F.length(w) >= SHORTEST_WORD)
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(m - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(theirs, i, F.greatest(n, F.lit(1))), " "))
+    none = F.array().cast("array<string>")
+    options = F.when((n == 1) & (F.length(F.try_element_at(mine, F.lit(1))) >= SHORTEST_WORD), long).when((n > 1) & (n <= m), runs).otherwise(none)
+    heard = F.transform(F.filter(theirs, lambda w: F.length(w) >= SHORTEST_JOINED), T.acoustic_fold)
+    joined = F.when(n >= 2, heard).otherwise(none)
+    return F.greatest(
+        closest(F.array_join(mine, " "), options, PHRASE),
+        JOINED * closest(T.acoustic_fold(F.array_join(mine, "")), joined, JOINED_WEIGHTS),
+    )
+
+
+def composite(q: Column, c: Column, person: Column) -> Column:
+    """The score in 0..1 to three decimals of the forms of a mention and of a name.
+
+    0 for an empty side, OTHER_YEAR if both name different years. `person` says whether the name
+    is a person's, which are compared name by name unless a generic word is about.
+    """
+    first, last = (lambda s: F.try_element_at(s["names"], F.lit(1))), (lambda s: F.try_element_at(s["names"], F.lit(-1)))
+    empty = F.lit("")
+    pairs = [[s[f] for f in _FORMS] + [F.coalesce(first(s), empty), F.coalesce(last(s), empty), F.coalesce(T.acoustic_fold(last(s)), empty)] for s in (q, c)]
+    measured = likeness(F.array(*pairs[0]), F.array(*pairs[1]))
+    at = {f: measured[i] for i, f in enumerate((*_FORMS, "first", "last", "last_heard"))}
+
+    equal = F.lit(None).cast("double")
+    for form, score in reversed(EQUAL.items()):
+        equal = F.when((q[form] == c[form]) & (q[form] != ""), F.lit(score)).otherwise(equal)
+
+    mine, theirs = F.array_distinct(F.split(q["norm"], " ")), F.array_distinct(F.split(c["norm"], " "))
+    one_word = (F.size(mine) == 1) | (F.size(theirs) == 1)
+    begins = F.startswith(q["norm"], c["norm"]) | F.startswith(c["norm"], q["norm"])
+    part = WITHIN * F.length(q["norm"]) / F.least(F.lit(LONGEST_WITHIN), F.greatest(F.lit(1), F.length(c["norm"])))
+    bonus = F.when(one_word & begins, F.lit(BEGINS)).when(one_word & F.contains(c["norm"], q["norm"]), part).otherwise(0.0)
+    bonus += F.when(q["soundex"] == c["soundex"], F.lit(SAME_SOUND)).otherwise(0.0)
+    whole = _blend(at["norm"], BLENDS["norm"]) + SAME_WORDS * T.jaccard(mine, theirs) + bonus
+    general = F.greatest(whole, *[_blend(at[f], BLENDS[f]) for f in _FORMS if f != "norm"], WINDOW * _within(q, c))
+
+    given, a, b = _blend(at["first"], PERSON), last(q), last(c)
+    heard = HEARD_FAMILY * (at["last_heard"][0] + at["last_heard"][1]) / 2
+    family = F.when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), F.lit(PART_OF_FAMILY)).otherwise(F.greatest(_blend(at["last"], PERSON), heard))
+    full = (
+        F.when(family < LEAST_FAMILY, F.least(F.lit(OTHER_FAMILY), given * family))
+        .when(given < LEAST_GIVEN, F.least(F.lit(OTHER_GIVEN), 0.60 * family + 0.40 * given))
+        .otherwise(FAMILY_WEIGHT * family + GIVEN_WEIGHT * given)
+    )
+    # The mention's only word is measured as its last one.
+    alone = F.when(_blend(at["last"], PERSON) >= LEAST_ONLY_FAMILY, ONLY_FAMILY * _blend(at["last"], PERSON)).otherwise(0.0)
+    named = person & ~q["generic"] & ~c["generic"] & (F.size(c["names"]) >= 2)
+    similar = F.when(named & (F.size(q["names"]) >= 2), full).when(named & (F.size(q["names"]) == 1), alone).otherwise(general)
+    score = F.coalesce(equal, F.greatest(similar, by_readings(F.coalesce(q["readings"], F.array().cast("array<string>")), c["norm"], c["base"], c["core"], c["flat"])))
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
+    boosted = F.when((score >= BOOSTED_FROM) & (q["year"] == c["year"]), F.least(F.lit(1.0), score + SAME_YEAR)).otherwise(score)
+    return F.round(
+        F.when((q["norm"] == "") | (c["norm"] == ""), 0.0).when(q["year"] != c["year"], F.lit(OTHER_YEAR)).otherwise(boosted), 3
+    )

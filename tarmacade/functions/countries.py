@@ -14,6 +14,7 @@ COUNTRIES = """
 AR ARG argentina
 AT AUT austria
 AU AUS australia
+BB BRB barbados
 BE BEL belgium
 BG BGR bulgaria
 BR BRA brazil
@@ -28,11 +29,11 @@ EE EST estonia
 ES ESP spain
 FI FIN finland
 FR FRA france
-GB GBR united kingdom, great britain, uk
+GB GBR united kingdom, great britain, uk, england, scotland, wales
 GR GRC greece
 HR HRV croatia
 HU HUN hungary
-IE IRL ireland
+IE IRL ireland, republic of ireland
 IN IND india
 IS ISL iceland
 IT ITA italy
@@ -44,13 +45,15 @@ LV LVA latvia
 MC MCO monaco
 MT MLT malta
 MX MEX mexico
-NL NLD netherlands
+NL NLD netherlands, holland
 NO NOR norway
 NZ NZL new zealand
 PE PER peru
+PK PAK pakistan
 PL POL poland
 PT PRT portugal
 PY PRY paraguay
+QA QAT qatar
 RO ROU romania
 SA SAU saudi arabia
 SE SWE sweden
@@ -71,6 +74,10 @@ CODES = {
 }
 
 
+#: The same as a table for other engines.
+CODES_SQL = "(VALUES " + ", ".join(f"('{spelling}', '{code}')" for spelling, code in CODES.items()) + ") iso(spelling, code)"
+
+
 def country_code(value: Column | str) -> Column:
     """The two-letter code of a country; an unlisted spelling in upper case; null where absent."""
     spelling = F.upper(present(value))

@@ -73,36 +73,36 @@ def p3_report(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {"p2_found": p2_found, "p2_changed_fields": p2_changed_fields, "p3_found": p3_found, "p3_report": p3_report}
 
 
-def _trim(x: str) -> str:
+def trimmed(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
 
 
-def _present(x: str) -> str:
-    return f"CASE WHEN lower({_trim(x)}) NOT IN ('', 'null', 'none') THEN {_trim(x)} END"
+def given(x: str) -> str:
+    return f"CASE WHEN lower({trimmed(x)}) NOT IN ('', 'null', 'none') THEN {trimmed(x)} END"
 
 
-def _date(x: str) -> str:
-    return f"coalesce(CAST(epoch_us(try_cast({_present(x)} AS TIMESTAMP)) AS VARCHAR), {_present(x)})"
+def dated(x: str) -> str:
+    return f"coalesce(CAST(epoch_us(try_cast({given(x)} AS TIMESTAMP)) AS VARCHAR), {given(x)})"
 
 
-_ORDER = f"""orders_ AS (
+ORDER_SQL = f"""orders_ AS (
   SELECT snapshot_id, born, row_number() OVER (ORDER BY born, snapshot_id) AS n,
          lead(snapshot_id) OVER (ORDER BY born, snapshot_id) AS next_id
-  FROM (SELECT {_trim('snapshot_id')} AS snapshot_id,
-               min(try_cast(regexp_replace({_present('value')}, 'Z$|[+-]00:00$', '') AS TIMESTAMP)) AS born
-        FROM meta WHERE {_trim('key')} = 'generated_at' GROUP BY 1) WHERE born IS NOT NULL)"""
+  FROM (SELECT {trimmed('snapshot_id')} AS snapshot_id,
+               min(try_cast(regexp_replace({given('value')}, 'Z$|[+-]00:00$', '') AS TIMESTAMP)) AS born
+        FROM meta WHERE {trimmed('key')} = 'generated_at' GROUP BY 1) WHERE born IS NOT NULL)"""
 
 _FIELDS_SQL = ", ".join(
-    f"{_date(f)} AS {f}" if f in ("start_date", "end_date") else f"CAST({f} AS VARCHAR) AS {f}" if f in ("year", "stages_count") else f"{_present(f)} AS {f}"
+    f"{dated(f)} AS {f}" if f in ("start_date", "end_date") else f"CAST({f} AS VARCHAR) AS {f}" if f in ("year", "stages_count") else f"{given(f)} AS {f}"
     for f in RALLY_FIELDS
 )
 
-_CHANGES = f"""WITH {_ORDER},
+_CHANGES = f"""WITH {ORDER_SQL},
 rows_ AS (
-  SELECT 'rallies' AS source_table, {_trim('event_id')} AS record_key, {_trim('snapshot_id')} AS snapshot_id, load_ord, {_FIELDS_SQL}, CAST(NULL AS VARCHAR) AS value
+  SELECT 'rallies' AS source_table, {trimmed('event_id')} AS record_key, {trimmed('snapshot_id')} AS snapshot_id, load_ord, {_FIELDS_SQL}, CAST(NULL AS VARCHAR) AS value
   FROM rallies
   UNION ALL
-  SELECT 'meta', {_trim('key')}, {_trim('snapshot_id')}, 0, {', '.join('NULL' for _ in RALLY_FIELDS)}, {_present('value')} FROM meta),
+  SELECT 'meta', {trimmed('key')}, {trimmed('snapshot_id')}, 0, {', '.join('NULL' for _ in RALLY_FIELDS)}, {given('value')} FROM meta),
 held AS (
   SELECT r.*, o.n, o.next_id FROM (
     SELECT *, row_number() OVER (PARTITION BY source_table, record_key, snapshot_id ORDER BY load_ord DESC, value DESC NULLS LAST) AS k FROM rows_ WHERE record_key <> '') r
@@ -117,18 +117,18 @@ pairs AS (
   FULL OUTER JOIN (SELECT * FROM held WHERE next_id IS NOT NULL) b
     ON a.source_table = b.source_table AND a.record_key = b.record_key AND a.snapshot_id = b.next_id)"""
 
-_ORPHANS = f"""WITH {_ORDER},
+_ORPHANS = f"""WITH {ORDER_SQL},
 refs AS (
-  {' UNION ALL '.join(f"SELECT '{t}' AS child_table, CAST({i} AS BIGINT) AS child_id, '{k}' AS kind, arg_min({_present(c)}, loaded_at) AS key, min(loaded_at) AS loaded_at FROM (SELECT {i}, loaded_at, coalesce({c}, '') AS {c} FROM {t}) WHERE {i} IS NOT NULL AND loaded_at IS NOT NULL GROUP BY {i}" for t, k, i, c in [("participation", "rally", "row_id", "event_id"), ("video_meta", "stage", "video_id", "stage_id"), ("final_results", "driver", "id", "driver_id")])}),
+  {' UNION ALL '.join(f"SELECT '{t}' AS child_table, CAST({i} AS BIGINT) AS child_id, '{k}' AS kind, arg_min({given(c)}, loaded_at) AS key, min(loaded_at) AS loaded_at FROM (SELECT {i}, loaded_at, coalesce({c}, '') AS {c} FROM {t}) WHERE {i} IS NOT NULL AND loaded_at IS NOT NULL GROUP BY {i}" for t, k, i, c in [("participation", "rally", "row_id", "event_id"), ("video_meta", "stage", "video_id", "stage_id"), ("final_results", "driver", "id", "driver_id")])}),
 parents AS (
-  SELECT 'rally' AS kind, {_present('event_id')} AS key, bool_or(o.next_id IS NULL) AS alive, min(o.born) AS arrival
-  FROM rallies r JOIN orders_ o ON o.snapshot_id = {_trim('r.snapshot_id')} GROUP BY 2
+  SELECT 'rally' AS kind, {given('event_id')} AS key, bool_or(o.next_id IS NULL) AS alive, min(o.born) AS arrival
+  FROM rallies r JOIN orders_ o ON o.snapshot_id = {trimmed('r.snapshot_id')} GROUP BY 2
   UNION ALL
-  SELECT 'stage', {_present('stage_id')}, arg_max(deleted_at IS NULL, loaded_at), min(loaded_at) FROM stages GROUP BY 2
+  SELECT 'stage', {given('stage_id')}, arg_max(deleted_at IS NULL, loaded_at), min(loaded_at) FROM stages GROUP BY 2
   UNION ALL
   SELECT 'driver', key, bool_or(alive), min(arrival) FROM (
-    SELECT {_present('driver_id')} AS key, arg_max(deleted_at IS NULL, loaded_at) AS alive, min(loaded_at) AS arrival
-    FROM people GROUP BY {_present('person_id')}, 1) GROUP BY key),
+    SELECT {given('driver_id')} AS key, arg_max(deleted_at IS NULL, loaded_at) AS alive, min(loaded_at) AS arrival
+    FROM people GROUP BY {given('person_id')}, 1) GROUP BY key),
 found AS (
   SELECT child_table, child_id,
          CASE WHEN p.key IS NULL THEN 'missing' WHEN NOT p.alive THEN 'deleted' WHEN p.arrival > c.loaded_at THEN 'late' END AS orphan_kind,

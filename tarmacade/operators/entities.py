@@ -1,8 +1,9 @@
 """Entity search: an inverted index of names, ranked candidates, scores and decisions.
 
-Entities are (entity_id, entity_type, name), mentions (mention_id, entity_type, mention). The
-index is one table of postings; candidates come from an equi-join with it and a weighted sum,
-which is combined on the map side. Mentions are resolved once per distinct text.
+Entities are (entity_id, entity_type, name), one row per name (an entity may have several),
+mentions (mention_id, entity_type, mention). The index is one table of postings; candidates come
+from an equi-join with it and a weighted sum, which is combined on the map side. Keys that very
+many names share are salted on both sides. Mentions are resolved once per distinct text.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tarmacade.functions import text as T
 from tarmacade.functions.kernels import dice, jaro_winkler, pairwise
+from tarmacade.session import cut_lineage
 
 # What a hit in each family of keys counts; prefixes count 5 per letter.
 WEIGHTS = {"canonical": 12_000, "exact": 10_000, "token": 200, "trigram": 20, "bigram": 4, "phonetic": 300}
@@ -24,6 +26,11 @@ LEAST_POOL = 25
 # Thresholds of a decision.
 ACCEPT, GAP, PLAUSIBLE, ALTERNATIVE = 0.75, 0.15, 0.50, 0.65
 LEAST_SIGNAL = 0.18
+#: Signals from which a candidate counts as matched by them.
+MATCHED = {"token": 0.50, "ngram": 0.45, "lexical": 0.65, "phonetic": 0.65}
+
+#: Postings per part of a key, and the parts of the largest key.
+KEY_ROWS, MOST_PARTS = 100_000, 512
 
 
 def _keys(raw: Column, norm: Column) -> Column:
@@ -55,12 +62,28 @@ def candidates(mentions: DataFrame, index: DataFrame) -> DataFrame:
     weight = F.when(F.col("family") == "prefix", PREFIX_WEIGHT * F.length("key"))
     for family, w in WEIGHTS.items():
         weight = weight.when(F.col("family") == family, w)
-    summed = keyed.join(index, ["entity_type", "family", "key"]).groupBy("mention_id", "entity_type", "entity_id").agg(F.sum(weight.cast("long")).alias("weight"))
+    summed = _met(keyed, index).groupBy("mention_id", "entity_type", "entity_id").agg(F.sum(weight.cast("long")).alias("weight"))
     rank = F.row_number().over(Window.partitionBy("mention_id").orderBy(F.desc("weight"), F.col("entity_id")))
     pool = F.when(F.col("entity_type") == "person", POOL["person"]).otherwise(OTHER_POOL)
     return summed.withColumn("rank", rank).where(F.col("rank") <= pool).select("mention_id", "entity_id", "weight", "rank")
 
 
+def _met(keyed: DataFrame, index: DataFrame) -> DataFrame:
+    """The mentions' keys joined with the postings; keys of more than KEY_ROWS postings in parts.
+
+    A key's postings are dealt to parts by entity and the mentions' row is repeated per part. The
+    list of such keys is small (each has KEY_ROWS of the postings) and broadcast only if few.
+    """
+    on = ["entity_type", "family", "key"]
+    hot = index.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > KEY_ROWS)
+    hot = cut_lineage(hot.select(*on, F.least(F.lit(MOST_PARTS), F.ceil(F.col("n") / KEY_ROWS)).cast("int").alias("parts")))
+    if not hot.limit(1).count():
+        return keyed.join(index, on)
+    dealt = index.join(hot, on, "left").withColumn("part", F.pmod(F.xxhash64("entity_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    each = keyed.join(hot, on, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return each.join(dealt, [*on, "part"])
+
+
 def full_scan(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """(mention_id, entity_id): every named entity of each mention's type."""
     named = entities.where(F.trim("name") != "").select("entity_type", "entity_id").distinct()
@@ -74,11 +97,30 @@ def escaped(mentions: DataFrame, entities: DataFrame, pool: DataFrame) -> DataFr
     return pool.join(trusted, "mention_id", "left_semi").select("mention_id", "entity_id").unionByName(full_scan(rest, entities))
 
 
-def scored(mentions: DataFrame, entities: DataFrame, pool: DataFrame) -> DataFrame:
-    """(mention_id, entity_id, name, score, signals...): the pool scored name by name.
+def context_score(mentions: DataFrame, attributes: DataFrame, keys: tuple[str, ...] = ("year", "country", "event_id")) -> DataFrame:
+    """(mention_id, entity_id, context): the share of a mention's known context that an entity meets.
+
+    Both sides have the columns `keys`; a null of the mention asks nothing, and a mention that
+    asks nothing has no rows. Only pairs that meet something come out: joined by each key.
+    """
+    asked = sum((F.col(k).isNotNull().cast("int") for k in keys), F.lit(0))
+    parts = []
+    for k in keys:
+        m = mentions.where(F.col(k).isNotNull()).select("mention_id", F.col(k).cast("string").alias("k"), asked.alias("asked"))
+        parts.append(m.join(attributes.where(F.col(k).isNotNull()).select("entity_id", F.col(k).cast("string").alias("k")).distinct(), "k").select("mention_id", "entity_id", "asked"))
+    met = parts[0]
+    for part in parts[1:]:
+        met = met.unionByName(part)
+    return met.groupBy("mention_id", "entity_id").agg((F.count(F.lit(1)) / F.max("asked")).alias("context"))
+
+
+def scored(mentions: DataFrame, entities: DataFrame, pool: DataFrame, context: DataFrame | None = None) -> DataFrame:
+    """(mention_id, entity_id, name, score, matched_by, signals...): the pool scored by each entity's best name.
 
     Six signals in 0..1; the score is .62 of the strongest, .23 of the second, .10 of the token
-    signal and .05 of the context (none here). Pairs with no signal of LEAST_SIGNAL are dropped.
+    signal and .05 of the context (mention_id, entity_id, context), 0 without one. Of several
+    names of an entity the best scored one counts, of equal ones the first; if it has no signal of
+    LEAST_SIGNAL, the pair is dropped.
     """
     jw, d2, d3 = pairwise(jaro_winkler), pairwise(lambda a, b: dice(a, b, 2)), pairwise(lambda a, b: dice(a, b, 3))
     form = lambda frame, key, name, p: frame.select(
@@ -94,10 +136,14 @@ def scored(mentions: DataFrame, entities: DataFrame, pool: DataFrame) -> DataFra
         "lexical": F.greatest(jw("m_flat", "e_flat"), d3("m_flat", "e_flat")), "phonetic": F.greatest(jw("m_sound", "e_sound"), d2("m_sound", "e_sound")),
     })
     strongest = F.sort_array(F.array("exact", "normalized", "token", "ngram", "lexical", "phonetic"), asc=False)
-    score = F.least(F.lit(1.0), 0.62 * strongest[0] + 0.23 * strongest[1] + 0.10 * c("token"))
-    return signals.where(strongest[0] >= LEAST_SIGNAL).select(
-        "mention_id", "entity_id", c("e_raw").alias("name"), score.alias("score"), "exact", "normalized", "token", "ngram", "lexical", "phonetic"
-    )
+    signals = signals.withColumn("context", F.lit(0.0)) if context is None else signals.join(context, ["mention_id", "entity_id"], "left").na.fill(0.0, ["context"])
+    score = F.least(F.lit(1.0), 0.62 * strongest[0] + 0.23 * strongest[1] + 0.10 * c("token") + 0.05 * c("context"))
+    tags = F.filter(F.array(*[F.when(c(s) >= least, F.lit(s)) for s, least in MATCHED.items()]), lambda t: t.isNotNull())
+    kept = ("exact", "normalized", "token", "ngram", "lexical", "phonetic")
+    # The filter comes after the aggregate: before it, it would be pushed below the kernels and run them twice.
+    rows = signals.select("mention_id", "entity_id", F.struct((-score).alias("order"), c("e_raw").alias("name"), strongest[0].alias("strongest"), tags.alias("matched_by"), *kept).alias("r"))
+    best = rows.groupBy("mention_id", "entity_id").agg(F.min("r").alias("r")).where(F.col("r.strongest") >= LEAST_SIGNAL)
+    return best.select("mention_id", "entity_id", "r.name", (-c("r.order")).alias("score"), "r.matched_by", *[f"r.{s}" for s in kept])
 
 
 def decisions(mentions: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -105,15 +151,17 @@ def decisions(mentions: DataFrame, ranked: DataFrame) -> DataFrame:
 
     A clear best candidate resolves; anything close, a second identity of the same name and
     score, or a single given name with several bearers asks for a choice among up to five.
+    `ranked` may have `base_score`, the score without context: a gap in either is clear.
     """
+    ranked = ranked if "base_score" in ranked.columns else ranked.withColumn("base_score", F.col("score"))
     best = Window.partitionBy("mention_id").orderBy(F.desc("score"), F.col("name"), F.col("entity_id"))
     whole = Window.partitionBy("mention_id")
-    top = ranked.withColumns({"k": F.row_number().over(best), "second": F.lead("score").over(best), "n": F.count(F.lit(1)).over(whole), "form": T.normalize(F.col("name"))})
+    top = ranked.withColumns({"k": F.row_number().over(best), "second": F.lead("score").over(best), "base_second": F.lead("base_score").over(best), "n": F.count(F.lit(1)).over(whole), "form": T.normalize(F.col("name"))})
     twin = F.count(F.lit(1)).over(Window.partitionBy("mention_id", "form", F.round("score", 6)))
     option = F.when((F.col("k") <= 5) & (F.col("score") >= PLAUSIBLE), F.struct("k", "entity_id"))
     top = top.withColumns({"twins": twin, "options": F.transform(F.array_sort(F.collect_list(option).over(whole)), lambda o: o["entity_id"])}).where("k = 1")
     joined = mentions.select("mention_id", "entity_type", T.normalize(F.col("mention")).alias("m")).join(top, "mention_id", "left")
-    gap = F.col("score") - F.coalesce("second", F.lit(0.0))
+    gap = F.greatest(F.col("score") - F.coalesce("second", F.lit(0.0)), F.col("base_score") - F.coalesce("base_second", F.lit(0.0)))
     strategy = (
         F.when(F.col("score").isNull(), "none")
         .when((F.col("entity_type") == "person") & ~F.contains("m", F.lit(" ")) & (F.col("n") >= 2), "partial_name_ambiguity")

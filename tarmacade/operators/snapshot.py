@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tarmacade.functions.clean import present
 from tarmacade.operators import filters as P
 from tarmacade.operators.strategies import Search, display_name, entries, final_results, role_label, seconds, streams
-from tarmacade.plans.query import Intent, Role, SearchPlan, SearchQuery
+from tarmacade.plans.query import Intent, QueryError, Role, SearchPlan, SearchQuery
 from tarmacade.sources.projection import Catalog
 
 CORE = ("rallies", "people", "stages", "participation", "final_results", "driver_wins", "uploader_stats")
@@ -263,11 +263,25 @@ def find_videos(s: Snapshot, plan: SearchPlan) -> Search:
     return Search(rows, [F.desc("video_id"), F.asc_nulls_first("driver_id")], _counted(found))
 
 
+def _filtered(plan: SearchPlan) -> bool:
+    q = plan.query
+    return bool(plan.nothing or plan.event_ids or plan.stage_ids or q.countries or q.cities or q.years or q.year_from or q.year_to or q.rally_names or q.event_names or q.stage_names or q.stage_numbers or q.driver_ids or q.driver_names)
+
+
 def find_uploaders(s: Snapshot, plan: SearchPlan) -> Search:
+    """Uploaders by uploads; the snapshot counts them over all rallies, so filters are refused."""
+    if _filtered(plan):
+        raise QueryError("UNSUPPORTED_QUERY", "the snapshot has no uploads by rally")
     return Search(s["uploader_stats"], [F.desc("upload_count"), F.col("uploader_id")], _counted(s["uploader_stats"]))
 
 
 def find_top_drivers(s: Snapshot, plan: SearchPlan) -> Search:
+    """Drivers by rallies won; with filters counted from the classified rows of the chosen rallies."""
+    if _filtered(plan):
+        won = _classified(s, plan, "pos_overall = 1")
+        rows = won.groupBy("driver_id", "driver_name").agg(F.countDistinct("event_id").alias("win_count"))
+        rows = rows.select(F.coalesce("driver_id", "driver_name").alias("person_id"), "driver_id", "driver_name", "win_count")
+        return Search(rows, [F.desc("win_count"), F.col("person_id")], _counted(rows))
     return Search(s["driver_wins"], [F.desc("win_count"), F.col("person_id")], _counted(s["driver_wins"]))
 
 

@@ -2,7 +2,8 @@
 
 Each strategy builds one lazy frame of all its rows and one of its total; `page` sorts by a total
 order and cuts the page. Filters sit on the narrow tables before joins, so they reach the scans;
-join sides are left to the optimizer, which broadcasts those that are small at run time.
+what only adds columns to a row (stage counts) is joined to the page, not to all rows. Join sides
+are left to the optimizer, which broadcasts those that are small at run time.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tarmacade.operators import filters as P
 from tarmacade.plans.query import Intent, MatchMode, SearchPlan
+from tarmacade.session import cut_lineage
 from tarmacade.sources.projection import Catalog
 
 
@@ -25,11 +27,24 @@ class Search:
     rows: DataFrame
     order: list[Column]
     total: DataFrame
+    #: Adds columns that the order doesn't need, one row for each row.
+    finish: Callable[[DataFrame], DataFrame] | None = None
 
 
 def page(search: Search, plan: SearchPlan) -> DataFrame:
     """The page that the plan asks for."""
-    return search.rows.orderBy(*search.order).offset(plan.query.offset).limit(plan.query.limit)
+    cut = search.rows.orderBy(*search.order).offset(plan.query.offset).limit(plan.query.limit)
+    return search.finish(cut).orderBy(*search.order) if search.finish else cut
+
+
+def page_with_total(search: Search, plan: SearchPlan, key: str) -> DataFrame:
+    """The page with `total`, the number of distinct `key` over all rows.
+
+    The joins of the search run once: its rows are written down, and page and total read them.
+    """
+    rows = cut_lineage(search.rows)
+    total = rows.agg(F.countDistinct(key).alias("total"))
+    return page(Search(rows, search.order, search.total, search.finish), plan).withColumn("total", total.scalar())
 
 
 def _total(column: Column) -> list[Column]:
@@ -60,12 +75,14 @@ def rallies(c: Catalog, plan: SearchPlan) -> Search:
         entered = entries(c).join(c.rally_sub_events, "sub_event_id")
         for condition in conditions:
             found = found.join(entered.where(condition).select("event_id"), "event_id", "left_semi")
-    counts = c.rally_stages.groupBy("event_id").agg(F.countDistinct("stage_id").alias("n_stages"))
-    rows = found.join(counts, "event_id", "left").select(
-        "event_id", "event_name", "status", "country", "city", "start_date", "end_date",
-        F.coalesce(F.col("stages_count").cast("long"), F.col("n_stages"), F.lit(0)).alias("stages_count"),
-    )
-    return Search(rows, [F.desc_nulls_last("start_date"), F.col("event_id")], found.agg(*_total(F.col("event_id"))))
+    rows = found.select("event_id", "event_name", "status", "country", "city", "start_date", "end_date", F.col("stages_count").cast("long").alias("stages_count"))
+
+    def counted(shown: DataFrame) -> DataFrame:
+        unknown = shown.where("stages_count is null").select("event_id")
+        counts = c.rally_stages.join(unknown, "event_id", "left_semi").groupBy("event_id").agg(F.countDistinct("stage_id").alias("n_stages"))
+        return shown.join(counts, "event_id", "left").withColumn("stages_count", F.coalesce("stages_count", "n_stages", F.lit(0))).drop("n_stages")
+
+    return Search(rows, [F.desc_nulls_last("start_date"), F.col("event_id")], found.agg(*_total(F.col("event_id"))), counted)
 
 
 def role_label(driver: Column, codriver: Column) -> Column:
@@ -86,24 +103,36 @@ def participations(c: Catalog, plan: SearchPlan) -> Search:
     return Search(rows, order, joined.agg(*_total(F.col("event_id"))))
 
 
-def final_stages(c: Catalog) -> DataFrame:
-    """(event_id, final_number): the highest stage number that has results, per rally."""
+def final_stages(c: Catalog, chosen: DataFrame | None = None) -> DataFrame:
+    """(event_id, final_number): the highest stage number that has results, per rally.
+
+    Results are reduced to the stages they have before anything is joined; with `chosen` rallies
+    (event_id) only theirs are looked at.
+    """
     classified = c.rally_results.select("stage_id", F.col("rally_id").alias("event_id"))
     numbered = c.rally_stages.where("stage_number is not null").select("stage_id", "event_id", P.stage_number(F.col("stage_number")).alias("number"))
-    return numbered.join(classified, ["stage_id", "event_id"]).groupBy("event_id").agg(F.max("number").alias("final_number"))
+    if chosen is not None:
+        numbered = numbered.join(chosen, "event_id", "left_semi")
+    return numbered.join(classified, ["stage_id", "event_id"], "left_semi").groupBy("event_id").agg(F.max("number").alias("final_number"))
 
 
 def final_results(c: Catalog, plan: SearchPlan, condition: Column) -> DataFrame:
-    """Results of each rally's last classified stage, with rally and driver."""
+    """Results of each rally's last classified stage, with rally and driver.
+
+    The rallies are chosen first, so that stages and results of others are never shuffled.
+    """
+    chosen = events(c, plan).select("event_id", "event_name")
+    filtered = not _everywhere(plan)
+    only = chosen.select("event_id") if filtered else None
     stages = c.rally_stages.select("stage_id", "event_id", P.stage_number(F.col("stage_number")).alias("number"))
-    last = stages.join(final_stages(c), "event_id").where(F.col("number") == F.col("final_number")).select("stage_id", "event_id")
+    last = stages.join(final_stages(c, only), "event_id").where(F.col("number") == F.col("final_number")).select("stage_id", "event_id")
+    last = last.join(chosen, "event_id")
     drivers = c.user_driver_profile.select("driver_id", F.col("full_name").alias("driver_full_name"), F.col("nick_name").alias("driver_nick_name"))
     entered = c.rally_entry_list.select(F.col("id").alias("entry_list_id"), "user_driver_id")
     person = P.classified_filter(plan.query)
     joined = (
         c.rally_results.where(condition).withColumnRenamed("rally_id", "event_id")
         .join(last, ["stage_id", "event_id"])
-        .join(events(c, plan).select("event_id", "event_name"), "event_id")
         .join(entered, "entry_list_id", "left")
         .join(drivers, F.col("user_driver_id") == F.col("driver_id"), "left")
     )
@@ -142,9 +171,10 @@ def seconds(time: Column) -> Column:
     return F.when(readable, part(1) + part(2) * 60 + part(3) * 3600)
 
 
-def streams(c: Catalog) -> DataFrame:
-    """(video_id, stream_id, video_url): the first playable stream of each video."""
+def streams(c: Catalog, wanted: DataFrame | None = None) -> DataFrame:
+    """(video_id, stream_id, video_url): the first playable stream of each (wanted) video."""
     shown = c.rally_streams.where(P.playable(F.col("on_demand_url"), F.col("video_type")))
+    shown = shown if wanted is None else shown.join(wanted, "video_id", "left_semi")
     return shown.groupBy("video_id").agg(F.min("id").alias("stream_id"), F.min("on_demand_url").alias("video_url"))
 
 
@@ -162,13 +192,11 @@ def video_actions(c: Catalog, plan: SearchPlan) -> Search:
     wanted = P.action_filter(plan.query, F.col("action_type"))
     actions = actions.where(wanted) if wanted is not None else actions
     moments = c.rally_video_metadata.withColumnRenamed("action_id", "action_type_id").withColumnRenamed("entry_list_id", "entry_id")
-    joined = (
-        moments.join(actions, "action_type_id").join(streams(c), "video_id")
-        .join(placed_videos(c, plan), "video_id", "left" if _unfiltered(plan) else "inner")
-        .join(entries(c), "entry_id", "left")
-    )
+    # Action, place and person decide which moments are left; streams come last, for those only.
     person = P.any_of(P.people_filters(plan.query))
-    joined = joined.where(person) if person is not None else joined
+    joined = moments.join(actions, "action_type_id").join(placed_videos(c, plan), "video_id", "left" if _unfiltered(plan) else "inner")
+    joined = joined.join(entries(c), "entry_id", "left") if person is None else joined.join(entries(c).where(person), "entry_id")
+    joined = joined.join(streams(c), "video_id")
     rows = joined.select(
         "id", "video_id", "stream_id", "video_url", "action_type_id", "action_type",
         seconds(F.col("start_action")).alias("start_action"), seconds(F.col("end_action")).alias("end_action"), "points",
@@ -178,17 +206,23 @@ def video_actions(c: Catalog, plan: SearchPlan) -> Search:
     return Search(rows, [F.desc("id"), F.asc_nulls_first("driver_name")], joined.agg(*_total(F.col("id"))))
 
 
+def _everywhere(plan: SearchPlan) -> bool:
+    """Whether no filter chooses rallies."""
+    q = plan.query
+    return not (plan.nothing or plan.event_ids or q.countries or q.cities or q.years or q.year_from or q.year_to or q.rally_names or q.event_names)
+
+
 def _unfiltered(plan: SearchPlan) -> bool:
     q = plan.query
-    return not (plan.nothing or plan.event_ids or plan.stage_ids or q.countries or q.cities or q.years or q.year_from or q.year_to or q.rally_names or q.event_names or q.stage_names or q.stage_numbers)
+    return _everywhere(plan) and not (plan.stage_ids or q.stage_names or q.stage_numbers)
 
 
 def driver_videos(c: Catalog, plan: SearchPlan) -> Search:
     """Videos with a known crew, one row per video and person."""
     moments = c.rally_video_metadata.select("video_id", F.col("entry_list_id").alias("entry_id"))
-    joined = placed_videos(c, plan).join(moments, "video_id").join(entries(c), "entry_id").join(streams(c), "video_id")
     person = P.any_of(P.people_filters(plan.query))
-    joined = joined.where(person) if person is not None else joined
+    crews = entries(c) if person is None else entries(c).where(person)
+    joined = placed_videos(c, plan).join(moments, "video_id").join(crews, "entry_id").join(streams(c), "video_id")
     rows = joined.select(
         "video_id", "stream_id", "video_url", F.col("thumbnail").alias("thumbnail_url"), "event_name", "stage_name", "stage_number",
         F.coalesce("driver_id", "codriver_id").alias("driver_id"), F.coalesce("driver_full_name", "codriver_full_name").alias("driver_name"),

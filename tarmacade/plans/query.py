@@ -40,7 +40,7 @@ class QueryError(ValueError):
         self.code = code
 
 
-MAX_LIMIT, DEFAULT_LIMIT = 200, 20
+DEFAULT_LIMIT = 20
 YEARS = range(1950, 2051)
 
 #: The plural field that a legacy singular key stands for.
@@ -111,7 +111,9 @@ class SearchQuery:
             elif isinstance(f.default, tuple):
                 clean[f.name] = without_blanks(value)
         years = {k: None if v is None else _year(v) for k, v in (("year_from", self.year_from), ("year_to", self.year_to))}
-        return SearchQuery(**clean, **years, intent=intent, role=role, match_mode=mode, limit=min(self.limit, MAX_LIMIT), offset=self.offset)
+        if None not in years.values() and years["year_from"] > years["year_to"]:
+            raise QueryError("INVALID_FILTER", f"year range runs backwards: {years['year_from']} to {years['year_to']}")
+        return SearchQuery(**clean, **years, intent=intent, role=role, match_mode=mode, limit=self.limit, offset=self.offset)
 
 
 def without_blanks(values: Iterable[Any]) -> tuple[str, ...]:
@@ -156,20 +158,23 @@ class SearchPlan:
 def compile_query(query: SearchQuery, resolutions: Iterable[Resolution] = ()) -> SearchPlan:
     """The plan of a query.
 
-    Ambiguous phrases are refused, resolved ones become ids, and a rally or stage phrase that
+    Ambiguous phrases are refused, resolved ones become ids, and a phrase of any type that
     resolved to nothing empties the result instead of silently widening it. The winner intent
-    asks for one row; action types only count for video actions.
+    asks for one row; action types are refused for anything but video actions.
     """
     from dataclasses import replace
 
     query = query.checked()
+    if query.action_types and query.intent is not Intent.VIDEO_ACTIONS:
+        raise QueryError("INVALID_FILTER", f"action types are not supported for {query.intent}")
+    resolutions = list(resolutions)
     events, stages, drivers, nothing, dropped = [], [], list(query.driver_ids), False, []
     for r in resolutions:
         if r.ambiguous:
             raise QueryError("INVALID_FILTER", f"ambiguous: {r.phrase}")
         if r.resolved_id is None:
             dropped.append(r.phrase)
-            nothing = nothing or r.entity_type in ("rally", "stage")
+            nothing = True
         else:
             {"rally": events, "stage": stages, "person": drivers}[r.entity_type].append(r.resolved_id)
     done = {r.phrase for r in resolutions}
@@ -178,7 +183,6 @@ def compile_query(query: SearchQuery, resolutions: Iterable[Resolution] = ()) ->
         query,
         rally_names=keep(query.rally_names), stage_names=keep(query.stage_names), driver_names=keep(query.driver_names),
         driver_ids=tuple(dict.fromkeys(drivers)),
-        action_types=query.action_types if query.intent is Intent.VIDEO_ACTIONS else (),
     )
     if query.intent is Intent.RALLY_RESULTS:
         query = replace(query, limit=1, offset=0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,14 +31,20 @@ def local_session(cores: int | str = "*", partitions: int = 8, **extra: str) ->
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the cluster's `spark.checkpoint.dir`, else one of our own.
 
-    Only a session that names no folder (tests, a single machine) gets a temporary one.
+    Only a session on a single machine (tests, benchmarks) that names no folder gets a temporary
+    one; on a cluster the executors would write to disks of their own, so a folder is asked for.
     """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     folder = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tarmacade-checkpoint-"))
+    if not folder and not context.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="tarmacade-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 
