@@ -15,6 +15,7 @@ from tarmacade.operators.orphans import (
     versioned_existence,
 )
 from tarmacade.operators.snapshot_diff import snapshot_changes, snapshot_order
+from tarmacade.session import cut_lineage
 from tarmacade.sources.tables import table
 
 RALLY_FIELDS = ["event_name", "name_norm", "country", "city", "year", "start_date", "end_date", "status", "stages_count"]
@@ -50,7 +51,8 @@ def _references(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _orphans(spark: SparkSession, sf: str) -> DataFrame:
-    refs = _references(spark, sf)
+    # Counted and looked up: written down, so that the large tables are read and aggregated once.
+    refs = cut_lineage(_references(spark, sf))
     order = snapshot_order(table(spark, sf, "meta"))
     counts = apply_deltas(
         reference_deltas(refs),
