@@ -1,7 +1,7 @@
 """The composite score of a mention against an entity's name.
 
-A name is reduced to its `forms` once, however many pairs it is in. A pair's score is then an
-expression over the two sets of forms: a ladder of equalities, and below it blends of
+A name is reduced to its `forms` once, however many pairs it is in. A pair's score (`composited`)
+is then made of expressions over the two sets of forms: a ladder of equalities, and below it blends of
 similarities, which BLENDS lists as weights. Only Jaro-Winkler and multiset Dice need Python;
 `likeness` computes them for all forms of a pair in one vectorised call, and everything that
 decides stays in generated code.
@@ -17,7 +17,7 @@ from functools import lru_cache
 from itertools import product
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmacade.functions import text as T
@@ -112,8 +112,7 @@ def edit_similarity(a: str, b: str) -> float:
     for i, x in enumerate(a, 1):
         row = [i]
         for j, y in enumerate(b):
-            row.append(min(costs[j + 1], row[j]) + 1 if x != y else costs[j])
-            row[-1] = min(row[-1], costs[j] + (x != y))
+            row.append(costs[j] if x == y else 1 + min(costs[j], costs[j + 1], row[j]))
         costs = row
     return 1.0 - costs[-1] / max(len(a), len(b))
 
@@ -182,17 +181,18 @@ def _within(q: Column, c: Column) -> Column:
     )
 
 
-def composite(q: Column, c: Column, person: Column) -> Column:
-    """The score in 0..1 to three decimals of the forms of a mention and of a name.
+def composited(pairs: DataFrame, person: Column, name: str = "score") -> DataFrame:
+    """The pairs (q, c, ...) of forms of a mention and of a name with their score in 0..1, to three decimals.
 
     0 for an empty side, OTHER_YEAR if both name different years. `person` says whether the name
-    is a person's, which are compared name by name unless a generic word is about.
+    is a person's, which are compared name by name unless a generic word is about. What several
+    branches need is a column of its own, so that it is computed once.
     """
-    first, last = (lambda s: F.try_element_at(s["names"], F.lit(1))), (lambda s: F.try_element_at(s["names"], F.lit(-1)))
-    empty = F.lit("")
-    pairs = [[s[f] for f in _FORMS] + [F.coalesce(first(s), empty), F.coalesce(last(s), empty), F.coalesce(T.acoustic_fold(last(s)), empty)] for s in (q, c)]
-    measured = likeness(F.array(*pairs[0]), F.array(*pairs[1]))
-    at = {f: measured[i] for i, f in enumerate((*_FORMS, "first", "last", "last_heard"))}
+    q, c, at = F.col("q"), F.col("c"), {f: F.col("#like")[i] for i, f in enumerate((*_FORMS, "first", "last", "last_heard"))}
+    first, last = (lambda s: F.coalesce(F.try_element_at(s["names"], F.lit(1)), F.lit(""))), (lambda s: F.coalesce(F.try_element_at(s["names"], F.lit(-1)), F.lit("")))
+    sides = [F.array(*[s[f] for f in _FORMS], first(s), last(s), T.acoustic_fold(last(s))) for s in (q, c)]
+    readings = F.coalesce(q["readings"], F.array().cast("array<string>"))
+    measured = pairs.withColumns({"#like": likeness(*sides), "#within": _within(q, c), "#read": by_readings(readings, c["norm"], c["base"], c["core"], c["flat"])})
 
     equal = F.lit(None).cast("double")
     for form, score in reversed(EQUAL.items()):
@@ -205,23 +205,25 @@ def composite(q: Column, c: Column, person: Column) -> Column:
     bonus = F.when(one_word & begins, F.lit(BEGINS)).when(one_word & F.contains(c["norm"], q["norm"]), part).otherwise(0.0)
     bonus += F.when(q["soundex"] == c["soundex"], F.lit(SAME_SOUND)).otherwise(0.0)
     whole = _blend(at["norm"], BLENDS["norm"]) + SAME_WORDS * T.jaccard(mine, theirs) + bonus
-    general = F.greatest(whole, *[_blend(at[f], BLENDS[f]) for f in _FORMS if f != "norm"], WINDOW * _within(q, c))
 
-    given, a, b = _blend(at["first"], PERSON), last(q), last(c)
+    a, b = last(q), last(c)
     heard = HEARD_FAMILY * (at["last_heard"][0] + at["last_heard"][1]) / 2
     family = F.when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), F.lit(PART_OF_FAMILY)).otherwise(F.greatest(_blend(at["last"], PERSON), heard))
+    staged = measured.withColumns({
+        "#equal": equal, "#general": F.greatest(whole, *[_blend(at[f], BLENDS[f]) for f in _FORMS if f != "norm"], WINDOW * F.col("#within")),
+        "#given": _blend(at["first"], PERSON), "#family": family, "#last": _blend(at["last"], PERSON),
+    })
+    given, family = F.col("#given"), F.col("#family")
     full = (
         F.when(family < LEAST_FAMILY, F.least(F.lit(OTHER_FAMILY), given * family))
         .when(given < LEAST_GIVEN, F.least(F.lit(OTHER_GIVEN), 0.60 * family + 0.40 * given))
         .otherwise(FAMILY_WEIGHT * family + GIVEN_WEIGHT * given)
     )
     # The mention's only word is measured as its last one.
-    alone = F.when(_blend(at["last"], PERSON) >= LEAST_ONLY_FAMILY, ONLY_FAMILY * _blend(at["last"], PERSON)).otherwise(0.0)
+    alone = F.when(F.col("#last") >= LEAST_ONLY_FAMILY, ONLY_FAMILY * F.col("#last")).otherwise(0.0)
     named = person & ~q["generic"] & ~c["generic"] & (F.size(c["names"]) >= 2)
-    similar = F.when(named & (F.size(q["names"]) >= 2), full).when(named & (F.size(q["names"]) == 1), alone).otherwise(general)
-    score = F.coalesce(equal, F.greatest(similar, by_readings(F.coalesce(q["readings"], F.array().cast("array<string>")), c["norm"], c["base"], c["core"], c["flat"])))
-    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
-    boosted = F.when((score >= BOOSTED_FROM) & (q["year"] == c["year"]), F.least(F.lit(1.0), score + SAME_YEAR)).otherwise(score)
-    return F.round(
-        F.when((q["norm"] == "") | (c["norm"] == ""), 0.0).when(q["year"] != c["year"], F.lit(OTHER_YEAR)).otherwise(boosted), 3
-    )
+    similar = F.when(named & (F.size(q["names"]) >= 2), full).when(named & (F.size(q["names"]) == 1), alone).otherwise(F.col("#general"))
+    raw = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col("#equal"), F.greatest(similar, F.col("#read")))))
+    boosted = F.when((F.col("#raw") >= BOOSTED_FROM) & (q["year"] == c["year"]), F.least(F.lit(1.0), F.col("#raw") + SAME_YEAR)).otherwise(F.col("#raw"))
+    score = F.when((q["norm"] == "") | (c["norm"] == ""), 0.0).when(q["year"] != c["year"], F.lit(OTHER_YEAR)).otherwise(boosted)
+    return staged.withColumn("#raw", raw).withColumn(name, F.round(score, 3)).drop("#like", "#within", "#read", "#equal", "#general", "#given", "#family", "#last", "#raw")

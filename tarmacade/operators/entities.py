@@ -126,13 +126,14 @@ def scored(mentions: DataFrame, entities: DataFrame, pool: DataFrame, context: D
     form = lambda frame, key, name, p: frame.select(
         key, F.col(name).alias(f"{p}_raw"), T.normalize(F.col(name)).alias(f"{p}_norm"), T.collapse(F.col(name)).alias(f"{p}_flat"),
         F.replace(T.phonetic_key(F.col(name)), F.lit(" "), F.lit("")).alias(f"{p}_sound"),
+        T.grams(T.collapse(F.col(name)), 2).alias(f"{p}_2"), T.grams(T.collapse(F.col(name)), 3).alias(f"{p}_3"), T.words(T.normalize(F.col(name))).alias(f"{p}_words"),
     )
     joined = pool.select("mention_id", "entity_id").join(form(mentions, "mention_id", "mention", "m"), "mention_id").join(form(entities, "entity_id", "name", "e"), "entity_id")
     c = F.col
-    ngram = 0.4 * T.set_dice(T.grams(c("m_flat"), 2), T.grams(c("e_flat"), 2)) + 0.6 * T.set_dice(T.grams(c("m_flat"), 3), T.grams(c("e_flat"), 3))
+    ngram = 0.4 * T.set_dice(c("m_2"), c("e_2")) + 0.6 * T.set_dice(c("m_3"), c("e_3"))
     signals = joined.withColumns({
         "exact": (F.lower("m_raw") == F.lower("e_raw")).cast("double"), "normalized": (c("m_norm") == c("e_norm")).cast("double"),
-        "token": T.token_score(T.words(c("m_norm")), T.words(c("e_norm")), c("m_norm"), c("e_norm")), "ngram": ngram,
+        "token": T.token_score(c("m_words"), c("e_words"), c("m_norm"), c("e_norm")), "ngram": ngram,
         "lexical": F.greatest(jw("m_flat", "e_flat"), d3("m_flat", "e_flat")), "phonetic": F.greatest(jw("m_sound", "e_sound"), d2("m_sound", "e_sound")),
     })
     strongest = F.sort_array(F.array("exact", "normalized", "token", "ngram", "lexical", "phonetic"), asc=False)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmacade.functions import text as T
-from tarmacade.functions.composite import IN_CONTEXT, composite, forms
+from tarmacade.functions.composite import IN_CONTEXT, composited, forms
 from tarmacade.operators.entities import ACCEPT, GAP
 
 # Confidence of a question asked before any score, plausible rallies for a city, options shown.
@@ -39,7 +39,7 @@ def rescored(mentions: DataFrame, entities: DataFrame, pool: DataFrame, in_conte
     asked = mentions.select("mention_id", (F.col("entity_type") == "person").alias("person"), forms(F.col("mention")).alias("q"))
     named = entities.where(F.trim("name") != "").select("entity_id", "name").distinct().withColumn("c", forms(F.col("name")))
     pairs = pool.select("mention_id", "entity_id").join(asked, "mention_id").join(named, "entity_id")
-    base = pairs.select("mention_id", "entity_id", "name", composite(F.col("q"), F.col("c"), F.col("person")).alias("base_score"))
+    base = composited(pairs, F.col("person"), "base_score")
     best = base.groupBy("mention_id", "entity_id").agg(F.min(F.struct((-F.col("base_score")).alias("order"), "name")).alias("r"))
     best = best.select("mention_id", "entity_id", "r.name", (-F.col("r.order")).alias("base_score"))
     if in_context is None:
