@@ -58,6 +58,16 @@ def p1_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return wide(found, groups, PERCENTILES, 0)
 
 
+def percentiles_by_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The percentiles per language over all days, selected in rounds down to ranges of 200 values.
+
+    The result is that of any other limit; with this one small inputs go through the rounds too.
+    """
+    groups = ["language", "metric"]
+    values = latencies(spark, sf).groupBy(*groups, "value").agg(F.sum("w").alias("w"))
+    return wide(multi_select(values, groups, [*PERCENTILES.values()], small=200), groups, PERCENTILES, 0)
+
+
 def p1_daily_sketches(spark: SparkSession, sf: str) -> DataFrame:
     """The mergeable summaries of each day: counts of logarithmic buckets."""
     return daily_sketch(latencies(spark, sf), ["period", "language", "metric"], SKETCH_ERROR)
@@ -76,12 +86,21 @@ def p1_combined_sketches(spark: SparkSession, sf: str) -> DataFrame:
 BEST = 5
 
 
-def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+def _classified(spark: SparkSession, sf: str) -> DataFrame:
     held = latest_rows(
         table(spark, sf, "final_results"), F.col("id"), F.col("loaded_at"),
         event_id=stripped("event_id"), pos_overall=F.col("pos_overall"),
     ).where("event_id is not null and pos_overall >= 1")
-    return top_n(cut_lineage(held), "event_id", "pos_overall", "id", BEST).select("event_id", "rnk", "id")
+    return cut_lineage(held)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return top_n(_classified(spark, sf), "event_id", "pos_overall", "id", BEST).select("event_id", "rnk", "id")
+
+
+def top_n_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, with every rally of more than 100 results split as a heavy one; the result is the same."""
+    return top_n(_classified(spark, sf), "event_id", "pos_overall", "id", BEST, hot=100).select("event_id", "rnk", "id")
 
 
 # --- 5: spellings of names
@@ -155,9 +174,11 @@ def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "p1_percentiles": p1_percentiles,
+    "percentiles_by_rounds": percentiles_by_rounds,
     "p1_daily_sketches": p1_daily_sketches,
     "p1_combined_sketches": p1_combined_sketches,
     "p4_found": p4_found,
+    "top_n_split": top_n_split,
     "p5_found": p5_found,
     "p6_packed": p6_packed,
     "p6_fill": p6_fill,
@@ -193,6 +214,8 @@ SQL = {
     "p1_percentiles": f"""{_LATENCIES}, both_ AS (SELECT * FROM long UNION ALL SELECT 'all', language, metric, value FROM long),
 ranked AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY period, language, metric) AS n FROM both_
   WINDOW w AS (PARTITION BY period, language, metric ORDER BY value)) {_picked('period, language, metric', 0)}""",
+    "percentiles_by_rounds": f"""{_LATENCIES}, ranked AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY language, metric) AS n FROM long
+  WINDOW w AS (PARTITION BY language, metric ORDER BY value)) {_picked('language, metric', 0)}""",
     "p1_daily_sketches": f"{_LATENCIES} SELECT * FROM sketch",
     "p1_combined_sketches": f"""{_LATENCIES}, unpacked AS (
   SELECT language, metric, CASE WHEN bucket > -1000000 THEN round(pow({_BASE}, bucket) * (2 / ({_BASE} + 1)), 6) ELSE 0 END AS value, unnest(range(w)) AS i
@@ -204,3 +227,4 @@ ranked AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY langu
   FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) AS k FROM final_results)
   WHERE k = 1 AND event_id IS NOT NULL AND pos_overall >= 1) WHERE rnk <= {BEST}""",
 }
+SQL["top_n_split"] = SQL["p4_found"]
