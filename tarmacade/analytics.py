@@ -58,10 +58,10 @@ def kernel_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def composite_score_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """The composite score of every spelling of a rally's name against the others'."""
-    from tarmacade.functions.composite import composited, forms
+    from tarmacade.functions.composite import composited, formed
 
     pairs = name_pairs(spark, sf)
-    of = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct().withColumn("f", forms(F.col("n")))
+    of = formed(pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct(), "n", "f")
     joined = pairs.join(of.select(F.col("n").alias("a"), F.col("f").alias("q")), "a").join(of.select(F.col("n").alias("b"), F.col("f").alias("c")), "b")
     return composited(joined, F.lit(False)).select("id", "a", "b", "score")
 

@@ -1,6 +1,6 @@
 """The composite score of a mention against an entity's name.
 
-A name is reduced to its `forms` once, however many pairs it is in. A pair's score (`composited`)
+A name is reduced to its forms (`formed`) once, however many pairs it is in. A pair's score (`composited`)
 is then made of expressions over the two sets of forms: a ladder of equalities, and below it blends of
 similarities, which BLENDS lists as weights. Only Jaro-Winkler and multiset Dice need Python;
 `likeness` computes them for all forms of a pair in one vectorised call, and everything that
@@ -62,21 +62,25 @@ ARABIC = r"[؀-ۿݐ-ݿ]"
 _FORMS = tuple(BLENDS)
 
 
-def forms(name: Column) -> Column:
-    """What is compared of a name, as a struct; all fields are empty, never null."""
-    text = F.coalesce(name, F.lit(""))
-    norm = T.normalize(text)
-    base, bare = T.strip_year(text), T.strip_descriptors(T.strip_year(text))
-    flat = lambda x: F.replace(x, F.lit(" "), F.lit(""))
-    words = F.filter(F.split(F.when(bare != "", bare).when(base != "", base).otherwise(norm), " "), lambda w: w != "")
-    own = F.filter(words, lambda w: ~w.isin(*SUFFIXES))
-    return F.struct(
-        norm.alias("norm"), base.alias("base"), flat(norm).alias("flat"), flat(bare).alias("core"),
-        T.acoustic_fold(flat(bare)).alias("core_heard"), T.acoustic_fold(flat(norm)).alias("flat_heard"),
-        words.alias("words"), F.when(F.size(own) > 0, own).otherwise(words).alias("names"),
-        norm.rlike(rf"\b({T.DESCRIPTORS})\b").alias("generic"), T.extract_year(text).alias("year"),
-        T.soundex(norm).alias("soundex"), _readings(F.when(text.rlike(ARABIC), text)).alias("readings"),
+def formed(frame: DataFrame, name: str, out: str) -> DataFrame:
+    """The frame with the struct `out`: what is compared of the column `name`; its texts are empty, never null.
+
+    Forms that others build on are columns of their own for a while, so that each is made once.
+    """
+    c, flat = F.col, lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    staged = frame.withColumn("#text", F.coalesce(name, F.lit(""))).withColumn("#norm", T.normalize(c("#text")))
+    staged = staged.withColumn("#base", T.without_year(c("#norm"))).withColumns({"#bare": T.without_descriptors(c("#base")), "#flat": flat(c("#norm"))})
+    phrase = F.when(c("#bare") != "", c("#bare")).when(c("#base") != "", c("#base")).otherwise(c("#norm"))
+    staged = staged.withColumns({"#core": flat(c("#bare")), "#words": F.filter(F.split(phrase, " "), lambda w: w != ""), "#read": _readings(F.when(c("#text").rlike(ARABIC), c("#text")))})
+    staged = staged.withColumn("#own", F.filter("#words", lambda w: ~w.isin(*SUFFIXES)))
+    fields = F.struct(
+        c("#norm").alias("norm"), c("#base").alias("base"), c("#flat").alias("flat"), c("#core").alias("core"),
+        T.acoustic_fold(c("#core")).alias("core_heard"), T.acoustic_fold(c("#flat")).alias("flat_heard"),
+        c("#words").alias("words"), F.when(F.size("#own") > 0, c("#own")).otherwise(c("#words")).alias("names"),
+        c("#norm").rlike(rf"\b({T.DESCRIPTORS})\b").alias("generic"), T.extract_year(c("#text")).alias("year"),
+        T.soundex(c("#norm")).alias("soundex"), c("#read").alias("readings"),
     )
+    return staged.withColumn(out, fields).drop("#text", "#norm", "#base", "#bare", "#flat", "#core", "#words", "#read", "#own")
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -60,7 +60,11 @@ def collapse(text: Column) -> Column:
 
 def strip_year(text: Column) -> Column:
     """The normalised text without years from 1900 to 2099."""
-    return F.trim(F.regexp_replace(F.regexp_replace(normalize(text), r"\b(19|20)[0-9]{2}\b", " "), " +", " "))
+    return without_year(normalize(text))
+
+
+def without_year(normalized: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(normalized, r"\b(19|20)[0-9]{2}\b", " "), " +", " "))
 
 
 def extract_year(text: Column) -> Column:
@@ -70,7 +74,11 @@ def extract_year(text: Column) -> Column:
 
 def strip_descriptors(text: Column) -> Column:
     """The normalised text without generic words such as rally or stage."""
-    return F.trim(F.regexp_replace(F.regexp_replace(normalize(text), rf"\b({DESCRIPTORS})\b", " "), " +", " "))
+    return without_descriptors(normalize(text))
+
+
+def without_descriptors(normalized: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(normalized, rf"\b({DESCRIPTORS})\b", " "), " +", " "))
 
 
 def acoustic_fold(text: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tarmacade.functions import text as T
 from tarmacade.functions.kernels import dice, jaro_winkler, pairwise
-from tarmacade.session import cut_lineage
+from tarmacade.session import cut_lineage, spread
 
 # What a hit in each family of keys counts; prefixes count 5 per letter.
 WEIGHTS = {"canonical": 12_000, "exact": 10_000, "token": 200, "trigram": 20, "bigram": 4, "phonetic": 300}
@@ -128,7 +128,7 @@ def scored(mentions: DataFrame, entities: DataFrame, pool: DataFrame, context: D
         F.replace(T.phonetic_key(F.col(name)), F.lit(" "), F.lit("")).alias(f"{p}_sound"),
         T.grams(T.collapse(F.col(name)), 2).alias(f"{p}_2"), T.grams(T.collapse(F.col(name)), 3).alias(f"{p}_3"), T.words(T.normalize(F.col(name))).alias(f"{p}_words"),
     )
-    joined = pool.select("mention_id", "entity_id").join(form(mentions, "mention_id", "mention", "m"), "mention_id").join(form(entities, "entity_id", "name", "e"), "entity_id")
+    joined = spread(pool.select("mention_id", "entity_id")).join(form(mentions, "mention_id", "mention", "m"), "mention_id").join(form(entities, "entity_id", "name", "e"), "entity_id")
     c = F.col
     ngram = 0.4 * T.set_dice(c("m_2"), c("e_2")) + 0.6 * T.set_dice(c("m_3"), c("e_3"))
     signals = joined.withColumns({

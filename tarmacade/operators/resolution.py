@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmacade.functions import text as T
-from tarmacade.functions.composite import IN_CONTEXT, composited, forms
+from tarmacade.functions.composite import IN_CONTEXT, composited, formed
 from tarmacade.operators.entities import ACCEPT, GAP
+from tarmacade.session import spread
 
 # Confidence of a question asked before any score, plausible rallies for a city, options shown.
 ASKED, PLAUSIBLE_RALLY, SHOWN = 0.5, 0.60, 5
@@ -36,9 +37,9 @@ def rescored(mentions: DataFrame, entities: DataFrame, pool: DataFrame, in_conte
     `in_context` (mention_id, entity_id) are pairs whose score is raised by IN_CONTEXT. Forms are
     computed once per distinct mention and name, then joined to the pairs.
     """
-    asked = mentions.select("mention_id", (F.col("entity_type") == "person").alias("person"), forms(F.col("mention")).alias("q"))
-    named = entities.where(F.trim("name") != "").select("entity_id", "name").distinct().withColumn("c", forms(F.col("name")))
-    pairs = pool.select("mention_id", "entity_id").join(asked, "mention_id").join(named, "entity_id")
+    asked = formed(mentions.select("mention_id", (F.col("entity_type") == "person").alias("person"), "mention"), "mention", "q").drop("mention")
+    named = formed(entities.where(F.trim("name") != "").select("entity_id", "name").distinct(), "name", "c")
+    pairs = spread(pool.select("mention_id", "entity_id")).join(asked, "mention_id").join(named, "entity_id")
     base = composited(pairs, F.col("person"), "base_score")
     best = base.groupBy("mention_id", "entity_id").agg(F.min(F.struct((-F.col("base_score")).alias("order"), "name")).alias("r"))
     best = best.select("mention_id", "entity_id", "r.name", (-F.col("r.order")).alias("base_score"))

@@ -55,3 +55,11 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """The frame in as many parts as a shuffle has, however few its bytes: kernels work on them.
+
+    Meant for narrow rows (ids of pairs) ahead of joins with small tables.
+    """
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))

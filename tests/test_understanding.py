@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarmacade.functions import display as D
-from tarmacade.functions.composite import composited, forms, latin_variants
+from tarmacade.functions.composite import composited, formed, latin_variants
 from tarmacade.functions.countries import CODES
 from tarmacade.operators import entities as R
 from tarmacade.operators import evaluation as V
@@ -17,7 +17,7 @@ from tarmacade.plans.router import CAPABILITIES, may_recover, route
 
 def scores(spark, *pairs):
     frame = spark.createDataFrame([(i, a, b, p) for i, (a, b, *r) in enumerate(pairs) for p in [bool(r and r[0])]], "i int, a string, b string, p boolean")
-    frame = frame.select("i", "p", forms(F.col("a")).alias("q"), forms(F.col("b")).alias("c"))
+    frame = formed(formed(frame, "a", "q"), "b", "c")
     return [r["s"] for r in composited(frame, F.col("p"), "s").orderBy("i").collect()]
 
 
