@@ -124,11 +124,13 @@ def ranked(parts: DataFrame, counts: DataFrame, bucket_rows: int = BUCKET_ROWS)
     buckets than one per `bucket_rows` pieces and one per size.
     """
     keys = ["container", "size"]
-    most = counts.select(*keys, F.ceil(F.col("n") / bucket_rows).alias("buckets"))  # bounded by the capacities
-    bucketed = parts.join(F.broadcast(most), keys).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("buckets")).cast("int")).drop("buckets")
+    # Only sizes of more than one bucket are told to the tasks: fewer than the capacities add up to.
+    most = counts.where(F.col("n") > bucket_rows).select(*keys, F.ceil(F.col("n") / bucket_rows).alias("buckets"))
+    if not most.limit(1).count():
+        return parts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id", "piece")) - 1)
+    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.coalesce("buckets", F.lit(1))).cast("int")
+    bucketed = parts.join(F.broadcast(most), keys, "left").withColumn("bucket", bucket).drop("buckets")
     local = bucketed.withColumn("local", F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy("doc_id", "piece")))
-    if not most.where("buckets > 1").limit(1).count():
-        return local.withColumn("rank", F.col("local") - F.lit(1)).drop("bucket", "local")
     counts = bucketed.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy(*keys).orderBy("bucket")) - F.col("n")).drop("n")
     return local.join(before, [*keys, "bucket"]).withColumn("rank", F.col("before") + F.col("local") - 1).drop("bucket", "local", "before")
