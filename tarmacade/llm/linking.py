@@ -72,13 +72,13 @@ def alike_words(words: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<long>")
     def keys(column: pd.Series) -> pd.Series:
-        return pd.Series([list(spelt_keys(w)) for w in column], dtype=object)
+        return pd.Series(spelt_keys(list(column)), dtype=object)
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch[[alike(x, y) for x, y in zip(batch["x"], batch["y"])]]
 
-    keyed = cut_lineage(_spread(words).select("word", "whole", F.explode(keys("word")).alias("key")))
+    keyed = cut_lineage(_spread(words).select("word", "whole", F.explode(F.array_distinct(keys("word"))).alias("key")))
     other = keyed.select("key", F.col("word").alias("y"), F.col("whole").alias("wy"))
     met = keyed.join(other, "key").where("word < y and (whole or wy)")
     return _spread(met.select(F.col("word").alias("x"), "y").distinct()).mapInPandas(check, "x string, y string")

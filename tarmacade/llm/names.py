@@ -11,11 +11,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import lru_cache
 from itertools import permutations
-from zlib import crc32
 
+import numpy as np
 import regex
 
 # Cyrillic letters as they are written in Latin ones, letter by letter.
@@ -282,19 +282,43 @@ def _anchor(x: str, y: str, nicknames: Nicknames, slack: int) -> bool:
     return x == y and len(x) >= 2 and not nicknames.given(x)
 
 
-def spelt_keys(word: str) -> set[int]:
-    """Keys that words share if they are alike: the word as written and as heard, with as many
-    letters left out as `tolerance` allows edits. Keys are hashes; a collision adds a candidate.
-    """
-    return {crc32(k.encode()) for spelling in (word, sound(word)) for k in _shortened(spelling)}
+# The powers of a hash's base and of its inverse, modulo 2**64.
+_BASE, _LONGEST = 0x9E3779B97F4A7C15, 2 * MOST_LETTERS + 2
+_UP = np.array([pow(_BASE, k, 1 << 64) for k in range(_LONGEST)], dtype=np.uint64)
+_DOWN = [np.uint64(pow(_BASE, -k, 1 << 64)) for k in range(3)]
+
 
+def spelt_keys(words: Sequence[str]) -> list[np.ndarray]:
+    """For each word keys that words share if they are alike: the word as written and as heard,
+    with as many letters left out as `tolerance` allows edits.
 
-def _shortened(word: str) -> set[str]:
-    last = found = {word}
-    for _ in range(tolerance(word, word)):
-        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
-        found = found | last
-    return found
+    Keys are hashes; a collision adds a candidate. A word may have a key twice.
+    """
+    spelt = [(i, x) for i, w in enumerate(words) for x in {w, sound(w)}]
+    by_length: dict[int, list[int]] = {}
+    for k, (_, x) in enumerate(spelt):
+        by_length.setdefault(len(x), []).append(k)
+    found: list[list[np.ndarray]] = [[] for _ in words]
+    for n, group in by_length.items():
+        codes = np.frombuffer("".join(spelt[k][1] for k in group).encode("utf-32-le"), np.uint32).reshape(len(group), n)
+        for k, keys in zip(group, _shortened(codes.astype(np.uint64), tolerance("x" * n, "x" * n)).view(np.int64)):
+            found[spelt[k][0]].append(keys)
+    return [np.concatenate(f) for f in found]
+
+
+def _shortened(codes: np.ndarray, most: int) -> np.ndarray:
+    """The hashes of words of one length, one per row, with up to `most` letters left out, from sums of their prefixes."""
+    n = codes.shape[1]
+    upto = np.zeros((len(codes), n + 1), np.uint64)
+    np.cumsum(codes * _UP[:n], axis=1, dtype=np.uint64, out=upto[:, 1:])
+    whole = upto[:, -1:]
+    found = [whole]
+    if most > 0:
+        found.append(upto[:, :-1] + (whole - upto[:, 1:]) * _DOWN[1])
+    if most > 1:
+        i, j = np.triu_indices(n, 1)
+        found.append(upto[:, i] + (upto[:, j] - upto[:, i + 1]) * _DOWN[1] + (whole - upto[:, j + 1]) * _DOWN[2])
+    return np.concatenate(found, axis=1)
 
 
 def anchors(name: list[str]) -> set[tuple[bool, str, str]]:
