@@ -32,6 +32,18 @@ def ngrams_explode(spark: SparkSession, sf: str) -> DataFrame:
     return _names(spark, sf).select(F.explode(T.grams(T.collapse(F.col("name")), 3)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
 
 
+def gram_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    """The anchor grams of every rally name: the first five and the last."""
+    return _names(spark, sf).select("name", F.array_join(T.gram_anchors(F.col("name")), ",").alias("anchors"))
+
+
+def page_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Drivers that stand on several pages, or several times on one, of ten results of a rally."""
+    rows = table(spark, sf, "final_results").select(stripped("event_id").alias("group"), F.floor(F.col("pos_overall") / 10).alias("page"), present("driver_id").alias("id"))
+    pages = rows.where("group is not null and page is not null and id is not null").groupBy("group", "page").agg(F.collect_list("id").alias("ids"))
+    return V.page_overlaps(pages)
+
+
 def name_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """(a, b): each rally's name and the other spellings of the same rally."""
     names = table(spark, sf, "rallies").select(stripped("event_id").alias("id"), F.col("event_name").alias("name")).where("name is not null").distinct()
@@ -231,7 +243,7 @@ QUERIES = {
     "acoustic_fold": lambda spark, sf: _names(spark, sf).select("name", T.acoustic_fold(T.normalize(F.col("name"))).alias("fold"), T.consonant_skeleton(F.col("name")).alias("skeleton")),
     "phonetic_key": lambda spark, sf: _names(spark, sf).select("name", T.phonetic_key(F.col("name")).alias("key")),
     "soundex_variant": lambda spark, sf: _names(spark, sf).select("name", T.soundex(T.normalize(F.col("name"))).alias("code")),
-    "ngrams_explode": ngrams_explode, "similarity_pairs": similarity_pairs, "kernel_pairs": kernel_pairs, "composite_score_pairs": composite_score_pairs, "scalars": scalars,
+    "ngrams_explode": ngrams_explode, "gram_anchors": gram_anchors, "page_overlaps": page_overlaps, "similarity_pairs": similarity_pairs, "kernel_pairs": kernel_pairs, "composite_score_pairs": composite_score_pairs, "scalars": scalars,
     "postings_build": postings_build, "candidates_ranked": candidates_ranked, "entity_resolution_decisions": entity_resolution_decisions,
     "recall_mrr": recall_mrr, "index_coverage": index_coverage,
     "latency_summary": latency_summary, "phase_totals": phase_totals, "failure_taxonomy": failure_taxonomy, "query_f1": query_f1, "parity_report": parity_report,
@@ -318,6 +330,11 @@ _LISTED = f"""WITH {ORDER_SQL}, r AS (SELECT {trim_sql('event_id')} AS event_id,
   l AS (SELECT old, case_id, list(event_id ORDER BY o, event_id) AS ids FROM i GROUP BY ALL)"""
 
 SQL = {
+    "gram_anchors": f"""{_RALLY_NAMES}, c AS (SELECT name, replace(t, ' ', '') AS c FROM n), g AS (SELECT name, c, list_transform(range(1, length(c) - 1), lambda i: substr(c, i, 3)) AS g FROM c),
+  d AS (SELECT name, c, list_filter(g, lambda x, i: list_position(g, x) = i)[1:5] AS g FROM g)
+  SELECT name, CASE WHEN length(c) < 3 THEN c ELSE array_to_string(CASE WHEN list_contains(g, substr(c, length(c) - 2, 3)) THEN g ELSE list_append(g, substr(c, length(c) - 2, 3)) END, ',') END AS anchors FROM d""",
+    "page_overlaps": f"""SELECT "group", id, count(*) AS times FROM (SELECT {trim_sql('event_id')} AS "group", pos_overall, {given('driver_id')} AS id FROM final_results)
+  WHERE "group" IS NOT NULL AND pos_overall IS NOT NULL AND id IS NOT NULL GROUP BY ALL HAVING count(*) > 1""",
     "postings_build": f"SELECT split_part(id, '|', 1) AS entity_type, family, count(DISTINCT key) AS keys, count(*) AS postings FROM {_keyed(_NAMED, True)} GROUP BY ALL",
     "index_coverage": f"""WITH n AS ({_NAMED}), k AS MATERIALIZED (SELECT DISTINCT id FROM {_keyed(_NAMED, True)})
   SELECT split_part(n.id, '|', 1) AS entity_type, count(*) AS sources, count(k.id) AS indexed, count(*) - count(k.id) AS missing FROM n LEFT JOIN k USING (id) GROUP BY ALL""",

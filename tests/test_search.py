@@ -47,6 +47,28 @@ def test_last_classified_stage_counts_numbers_not_text(spark):
     assert ids(spark, "driver_id", intent="GET_TOP_DRIVERS_BY_WINS") == (["d1", "d2"], 2)
 
 
+def test_page_with_its_total(spark):
+    plan = compile_query(SearchQuery.of({"intent": "SEARCH_RALLIES", "limit": 2}))
+    found = strategies.run(Tables(spark), plan)
+    rows = strategies.page_with_total(found, plan, "event_id").collect()
+    assert [(r["event_id"], r["total"], r["stages_count"]) for r in rows] == [("1", 3, 3), ("2", 3, 5)]
+    assert strategies.has_more(plan, 2, 3) and not strategies.has_more(plan, 2, 2)
+
+
+def test_filtered_leaderboards_of_the_snapshot(spark):
+    from tarmacade.operators import snapshot as M
+
+    s = {n: M.BUILDERS[n](Tables(spark)) for n in ("rallies", "participation", "final_results", "driver_wins")}
+
+    def wins(**q):
+        plan = compile_query(SearchQuery.of({"intent": "GET_TOP_DRIVERS_BY_WINS"} | q))
+        return [(r["driver_id"], r["win_count"]) for r in strategies.page(M.run(s, plan), plan).collect()]
+
+    assert wins() == [("d1", 1), ("d2", 1)] and wins(years=[2024]) == [("d2", 1)] and wins(years=[1999]) == []
+    with pytest.raises(QueryError):
+        M.run(s, compile_query(SearchQuery.of({"intent": "GET_TOP_UPLOADERS", "years": [2024]})))
+
+
 def test_filters_alternate_within_and_add_up_across(spark):
     assert ids(spark, "event_id", intent="SEARCH_RALLIES", country="lva") == (["1", "2"], 2)
     assert ids(spark, "event_id", intent="SEARCH_RALLIES", countries=["latvia"], years=[2023], yearFrom=2025) == (["2"], 1)
