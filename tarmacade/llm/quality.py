@@ -359,9 +359,12 @@ def judge(lines: Lines) -> np.ndarray:
     full = lines.words >= 8
     rule("more than 0.1 symbols per word", full & (lines.flagged(SYMBOL) > MOST_SYMBOLS * words))
     mean = lines.word_chars / words
-    rule("mean word length outside 3 to 10", full & ((mean < LEAST_WORD) | (mean > MOST_WORD)))
+    # Languages that join words have longer ones, but their prose has common words all the same.
+    rule("mean word length outside 3 to 10", full & ((mean < LEAST_WORD) | (mean > MOST_WORD)) & ((share < 0.1) | (share > MOST_COMMON)))
     rule("fewer than 0.8 of words with a letter", full & loose & (lines.alphabetic < LEAST_ALPHABETIC * tokens) & (share < 0.2))
-    rule("more common words than prose has", (lines.words >= 12) & (share > MOST_COMMON))
+    # A wrapped line of prose may be full of common words; its text is not.
+    of_text = np.bincount(lines.doc, weights=lines.common, minlength=lines.n_docs) / np.maximum(np.bincount(lines.doc, weights=lines.words, minlength=lines.n_docs), 1)
+    rule("more common words than prose has", (share > MOST_COMMON) & ((lines.words >= 25) | ((lines.words >= 12) & (of_text[lines.doc] > MOST_COMMON - 0.05))))
     rule("duplicate lines", loose & (lines.times >= 4) & (lines.words <= 12) & ~match(_PAIR, loose & (lines.times >= 4)))
     rule("name and value", match(_PAIR, loose & (lines.words <= 8) & (share < 0.35)))
     rule("definition", match(_GLOSS, loose & (lines.words <= 20)))

@@ -6,7 +6,8 @@ from tarmacade.llm.tokens import counter, encoding, token_count
 PROSE = "The rain came early and most of the drivers had chosen the wrong tyres. They lost a minute on the first stage, but the road was dry by noon."
 CASES = {
     "prose": PROSE, "prose without case": PROSE.lower().replace(".", "").replace(",", ""), "prose in capitals": PROSE.upper(),
-    "prose, wrapped": PROSE.replace(" most", "\nmost").replace(" They", "\nThey"), "prose with a heading": "Rally Velin: Old Mill\n\n" + PROSE,
+    "prose, wrapped": PROSE.replace(" most", "\nmost").replace(" They", "\nThey"), "prose, wrapped at common words": "Bring warm clothes, the wind on the ridge can be cold.\nBy the time that it was over, the best of them had to be in the\nvalley, where the helicopter waited.",
+    "prose with long words": "Mekaanikot vaihtoivat vaihdelaatikon alle kahdessakymmenessä minuutissa ennen erikoiskokeen uudelleenkäynnistystä.", "prose with a heading": "Rally Velin: Old Mill\n\n" + PROSE,
     "prose as dialogue": "Ann Berg: We lost a minute there, but it could have been worse.\nBo Carl: That is true, and the road was better after that.",
     "prose, terse": "Service at Velin, hard tyres fitted. Berg out, a gearbox problem. Restart delayed 40 minutes. Road icy, grip low.",
     "list": "- Old Mill\n- High Bridge\n- Long Lane\n- Velin", "list numbered": "1. Ann Berg\n2. Bo Carl\n3. Cy Dahl", "list of names": "Ann Berg\nBo Carl\nCy Dahl\nDi Ek",
