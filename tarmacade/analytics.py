@@ -103,6 +103,11 @@ def postings_build(spark: SparkSession, sf: str) -> DataFrame:
     return index.groupBy("entity_type", "family").agg(F.countDistinct("key").alias("keys"), F.count(F.lit(1)).alias("postings"))
 
 
+def index_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """How large the index is per entity type."""
+    return R.index_statistics(R.postings(entities_of(spark, sf)))
+
+
 def candidates_ranked(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best candidates of every mention."""
     return R.candidates(mentions_of(spark, sf), R.postings(_people(spark, sf))).where("rank <= 10")
@@ -244,7 +249,7 @@ QUERIES = {
     "phonetic_key": lambda spark, sf: _names(spark, sf).select("name", T.phonetic_key(F.col("name")).alias("key")),
     "soundex_variant": lambda spark, sf: _names(spark, sf).select("name", T.soundex(T.normalize(F.col("name"))).alias("code")),
     "ngrams_explode": ngrams_explode, "gram_anchors": gram_anchors, "page_overlaps": page_overlaps, "similarity_pairs": similarity_pairs, "kernel_pairs": kernel_pairs, "composite_score_pairs": composite_score_pairs, "scalars": scalars,
-    "postings_build": postings_build, "candidates_ranked": candidates_ranked, "entity_resolution_decisions": entity_resolution_decisions,
+    "postings_build": postings_build, "index_statistics": index_statistics, "candidates_ranked": candidates_ranked, "entity_resolution_decisions": entity_resolution_decisions,
     "recall_mrr": recall_mrr, "index_coverage": index_coverage,
     "latency_summary": latency_summary, "phase_totals": phase_totals, "failure_taxonomy": failure_taxonomy, "query_f1": query_f1, "parity_report": parity_report,
     "session_carried": session_carried, "inherited_fields": inherited_fields, "stale_generation": stale_generation, "session_fold": session_fold,
@@ -336,6 +341,7 @@ SQL = {
     "page_overlaps": f"""SELECT "group", id, count(*) AS times FROM (SELECT {trim_sql('event_id')} AS "group", pos_overall, {given('driver_id')} AS id FROM final_results)
   WHERE "group" IS NOT NULL AND pos_overall IS NOT NULL AND id IS NOT NULL GROUP BY ALL HAVING count(*) > 1""",
     "postings_build": f"SELECT split_part(id, '|', 1) AS entity_type, family, count(DISTINCT key) AS keys, count(*) AS postings FROM {_keyed(_NAMED, True)} GROUP BY ALL",
+    "index_statistics": f"SELECT split_part(id, '|', 1) AS entity_type, count(DISTINCT id) AS entities, count(*) AS postings, CAST(sum(octet_length(encode(key))) AS BIGINT) AS key_bytes FROM {_keyed(_NAMED, True)} GROUP BY ALL",
     "index_coverage": f"""WITH n AS ({_NAMED}), k AS MATERIALIZED (SELECT DISTINCT id FROM {_keyed(_NAMED, True)})
   SELECT split_part(n.id, '|', 1) AS entity_type, count(*) AS sources, count(k.id) AS indexed, count(*) - count(k.id) AS missing FROM n LEFT JOIN k USING (id) GROUP BY ALL""",
     "recall_mrr": f"""WITH t AS ({_OTHER_NAMES}), e AS MATERIALIZED {_keyed(_PEOPLE, True)}, m AS MATERIALIZED {_keyed(f"SELECT id, name FROM ({_OTHER_NAMES})", False)},

@@ -8,6 +8,8 @@ many names share are salted on both sides. Mentions are resolved once per distin
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,6 +184,30 @@ def decisions(mentions: DataFrame, ranked: DataFrame) -> DataFrame:
     )
 
 
+def snapshot_entities(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(entity_id, entity_type, name): the entities of a snapshot's tables, one row per distinct name.
+
+    Rallies, stages, people with all their names, and uploaders. `searchable_names` may be an
+    array or, as some stores keep it, its JSON text.
+    """
+    people = tables["people"]
+    if dict(people.dtypes)["searchable_names"] == "string":
+        people = people.withColumn("searchable_names", F.from_json("searchable_names", "array<string>"))
+    names = F.explode(F.concat(F.array("display_name"), F.coalesce("searchable_names", F.array().cast("array<string>"))))
+    parts = [
+        tables["rallies"].select(F.col("event_id").alias("entity_id"), F.lit("rally").alias("entity_type"), F.col("event_name").alias("name")),
+        tables["stages"].select("stage_id", F.lit("stage"), "stage_name"), people.select("person_id", F.lit("person"), names),
+        tables["uploader_stats"].select("uploader_id", F.lit("uploader"), "uploader_name"),
+    ]
+    every = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    return every.where("entity_id is not null and trim(name) <> ''").distinct()
+
+
+def index_statistics(index: DataFrame) -> DataFrame:
+    """(entity_type, entities, postings, key_bytes): how large the index of each type is."""
+    return index.groupBy("entity_type").agg(F.countDistinct("entity_id").alias("entities"), F.count(F.lit(1)).alias("postings"), F.sum(F.octet_length("key").cast("long")).alias("key_bytes"))
+
+
 def coverage(sources: DataFrame, index: DataFrame) -> DataFrame:
     """(entity_type, sources, indexed, missing): which source ids the index has."""
     indexed = index.select("entity_type", "entity_id").distinct().withColumn("found", F.lit(1))

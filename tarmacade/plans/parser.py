@@ -28,11 +28,20 @@ CUES = [
 ]
 # Small words that name nothing.
 SMALL = frozenset("a an and any are all at about as be by can did do does for from give find get had has have he her him his how i in is it its list me my of on or out please she show tell than that the their them then there these they this those to up was were what when where which who whose will with year years you your between since before after until show us many much new latest recent".split())
-# Texts that are no questions.
+# Texts that ask for no search, by kind; whole texts, then patterns of whole texts.
 SPECIAL = {
-    "greeting": {"hi", "hello", "hey", "good morning", "good evening"}, "thanks": {"thanks", "thank you", "cheers"},
-    "help": {"help", "what can you do", "how does this work"}, "farewell": {"bye", "goodbye", "see you"},
+    "greeting": {"hi", "hello", "hey", "good morning", "good afternoon", "good evening"},
+    "thanks": {"thanks", "thank you", "cheers", "thanks a lot"},
+    "identity": {"who are you", "what are you", "what is your name"},
+    "capabilities": {"help", "what can you do", "how can you help", "what do you do"},
+    "alive": {"are you alive", "are you real"},
+    "joke": {"tell me a joke", "say something funny", "rally joke"},
+    "weather": {"weather", "what's the weather", "what is the weather", "how is the weather"},
 }
+SPECIAL_PATTERNS = [
+    ("opinion", re.compile(r"who (is|was) the (best|greatest) rally (driver|racer)( of all time)?")),
+    ("unsupported", re.compile(r"(what is|what's) the capital of [a-z ]+|(how do i|how to) (cook|bake|make)\b.*")),
+]
 
 _YEAR = r"((?:19|20)\d{2})"
 _RANGE = re.compile(rf"\b{_YEAR}\s*(?:-|–|to|until|and)\s*{_YEAR}\b")
@@ -53,8 +62,10 @@ class Parsed:
 
 
 def special_kind(text: str) -> str | None:
-    plain = text.strip().lower().rstrip("!?. ")
-    return next((kind for kind, phrases in SPECIAL.items() if plain in phrases), None)
+    """The kind of a text that asks for no search, whatever its case, blanks and final punctuation."""
+    plain = " ".join(text.lower().rstrip("?!.,;: ").split())
+    exact = next((kind for kind, phrases in SPECIAL.items() if plain in phrases), None)
+    return exact or next((kind for kind, pattern in SPECIAL_PATTERNS if pattern.fullmatch(plain)), None)
 
 
 def read_years(text: str) -> tuple[dict[str, object], str]:

@@ -55,6 +55,14 @@ class Store:
         overwrite[0] = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(beside, target, overwrite)
 
+    def has_snapshot(self) -> bool:
+        return self.current() is not None
+
+    def last_sync(self) -> datetime | None:
+        """When the version that holds was last confirmed, None before the first import."""
+        held = self.current()
+        return datetime.fromisoformat(held["last_sync_utc"]) if held else None
+
     def current(self) -> dict[str, Any] | None:
         """What is known of the version that holds, or None before the first import."""
         return self._read("current.json")
@@ -115,3 +123,8 @@ class Store:
         if held and not force and (now or datetime.now(UTC)) - datetime.fromisoformat(held["last_sync_utc"]) < STALE_AFTER:
             return held
         return self.promote(self.stage(build(segment), segment))
+
+
+def write_cases(cases: DataFrame, folder: str) -> None:
+    """One JSON line per case, for other implementations to compare with; absent fields are left out."""
+    cases.write.mode("overwrite").json(folder)

@@ -163,7 +163,7 @@ def test_parity_and_scores(spark):
 def test_parser():
     p = parse("Show me jumps in Latvia between 2024 and 2022")
     assert p.query.intent is Intent.VIDEO_ACTIONS and p.query.countries == ("latvia",) and (p.query.year_from, p.query.year_to) == (2022, 2024)
-    assert parse("who won rally aluksne 2024").residual == ("aluksne",) and parse("hello!").special == "greeting"
+    assert parse("who won rally aluksne 2024").residual == ("aluksne",) and parse("hello!").special == "greeting" and parse("What  is the capital of Peru?").special == "unsupported" and parse("who is the best rally driver").special == "opinion"
     assert parse("purple monkeys").query is None
     assert grounded(SearchQuery(Intent.RALLIES, years=(2023, 2024)), "rallies in 2024").years == (2024,)
     assert residual_type(("berg",), "videos featuring berg", Intent.VIDEO_ACTIONS) == "person"

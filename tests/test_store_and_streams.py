@@ -16,7 +16,7 @@ def tables(spark, n):
 
 def test_failed_import_keeps_the_version_before(spark, tmp_path):
     store = Store(spark, f"{tmp_path}/store")
-    assert store.current() is None
+    assert store.current() is None and not store.has_snapshot() and store.last_sync() is None
     with pytest.raises(ImportRefused):
         store.tables()
     first = store.promote(store.stage(tables(spark, 3), "core"), {"rallies": 3, "people": 2})
@@ -29,6 +29,22 @@ def test_failed_import_keeps_the_version_before(spark, tmp_path):
     assert store.promote(store.stage(tables(spark, 4), "core"))["counts"]["rallies"] == 4
 
 
+def test_entities_of_a_snapshot_and_cases_for_others(spark, tmp_path):
+    from tarmacade.operators.entities import snapshot_entities
+    from tarmacade.sources.store import write_cases
+
+    made = {
+        "rallies": spark.createDataFrame([("e1", "Rally A"), ("e2", " ")], "event_id string, event_name string"), "stages": spark.createDataFrame([("s1", "Stage")], "stage_id string, stage_name string"),
+        "people": spark.createDataFrame([("p1", "Ann", '["Ann", "Annie"]'), ("p2", "Bo", None)], "person_id string, display_name string, searchable_names string"),
+        "uploader_stats": spark.createDataFrame([("u1", "Cy", 3)], "uploader_id string, uploader_name string, upload_count int"),
+    }
+    expected = [("e1", "rally", "Rally A"), ("p1", "person", "Ann"), ("p1", "person", "Annie"), ("p2", "person", "Bo"), ("s1", "stage", "Stage"), ("u1", "uploader", "Cy")]
+    found = snapshot_entities(made)
+    assert sorted(map(tuple, found.collect())) == expected
+    write_cases(found, f"{tmp_path}/cases")
+    assert sorted(map(tuple, spark.read.schema(found.schema).json(f"{tmp_path}/cases").collect())) == expected
+
+
 def test_sync_only_when_stale(spark, tmp_path):
     store, builds = Store(spark, f"{tmp_path}/store"), []
     build = lambda segment: builds.append(segment) or tables(spark, 1 + len(builds))
