@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+from tarmacade.llm import components, linking
 from tarmacade.llm.components import connected_components, contracted
 from tarmacade.llm.linking import accepted_pairs, link, numbered
 from tarmacade.llm.names import Nicknames, same_name, tokens
@@ -121,3 +122,19 @@ def test_long_texts_link_only_to_themselves(spark):
     rows = [("p1", text, None, False, 1), ("p2", text, None, False, 1), ("p3", word, None, False, 1), ("entry:1", word.upper(), None, True, 1), ("p4", "Robert Bergolanov", None, False, 1)]
     found = {(r["left_key"], r["right_key"]) for r in link(spark.createDataFrame(rows, RECORDS), NICK).collect()}
     assert found == {("p1", "p2"), ("entry:1", "p3")}
+
+
+def test_nothing_that_grows_is_broadcast(spark, monkeypatch):
+    plans, kept = [], linking.cut_lineage
+
+    def noted(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return kept(frame)
+
+    monkeypatch.setattr(linking, "cut_lineage", noted)
+    monkeypatch.setattr(components, "cut_lineage", noted)
+    rows = [("p1", "Robert Bergolanov", None, False, 1), ("p1", "Bob Bergolanof", None, False, 1), ("entry:1", "R. Bergolanov", None, True, 1)]
+    found = link(spark.createDataFrame(rows, RECORDS), NICK)
+    noted(found)
+    assert [tuple(r) for r in found.collect()] == [("entry:1", "p1")]
+    assert sum("SortMergeJoin" in p for p in plans) > 5 and not any("Broadcast" in p for p in plans)
