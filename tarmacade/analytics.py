@@ -18,7 +18,7 @@ from tarmacade.operators import evaluation as V
 from tarmacade.operators import sessions as S
 from tarmacade.operators.orphans import latest_rows
 from tarmacade.operators.strategies import seconds
-from tarmacade.session import cut_lineage
+from tarmacade.session import cut_lineage, spread
 from tarmacade.sources.tables import table
 
 
@@ -233,7 +233,7 @@ def parser_batch(spark: SparkSession, sf: str) -> DataFrame:
                 rows.append((text, q.intent.value if q else None, list(q.years) if q else [], list(q.countries) if q else [], " ".join(p.residual)))
             yield pd.DataFrame(rows, columns=["text", "intent", "years", "countries", "residual"])
 
-    return texts.mapInPandas(read, "text string, intent string, years array<int>, countries array<string>, residual string")
+    return spread(texts).mapInPandas(read, "text string, intent string, years array<int>, countries array<string>, residual string")
 
 
 def scalars(spark: SparkSession, sf: str) -> DataFrame:

@@ -169,6 +169,19 @@ def test_parser():
     assert residual_type(("berg",), "videos featuring berg", Intent.VIDEO_ACTIONS) == "person"
 
 
+def test_parser_takes_no_year_out_of_range():
+    assert parse("Rally Lunporto 2062").query.years == () and parse("rallies 1912, 2024").query.years == (2024,)
+    q = parse("rallies between 1900 and 1960").query
+    assert (q.years, q.year_from, q.year_to) == ((), None, 1960)
+    assert parse("rallies since 1949").query.year_from is None and parse("rallies before 2051").query.year_to is None
+    assert parse("lunporto 2062").query is None and parse("rallies 1950-2050").query.year_from == 1950
+
+
+def test_parser_batch_reads_a_slipped_year(spark, tmp_path):
+    spark.createDataFrame([("Rally Lunporto 2062", "LV"), ("Rally Lunporto 2026", "LV")], "event_name string, country string").write.parquet(f"{tmp_path}/rallies.parquet")
+    assert {r["text"]: r["years"] for r in analytics.parser_batch(spark, str(tmp_path)).collect()} == {"Rally Lunporto 2062 LV": [], "Rally Lunporto 2026 LV": [2026]}
+
+
 def test_decisions_score_the_whole_pool_and_all_where_it_is_small(spark, tmp_path):
     rally = ("e1", "Rally A")
     people = [(f"p{i:02}", f"Bergolanov {a}{b}") for i, (a, b) in enumerate((a, b) for a in ("Xu", "Zo", "Wy", "Qua", "Vi", "Ju") for b in ("dak", "jin", "sup", "kal", "mod", "fas", "zem", "wog", "nib", "hyt"))]
