@@ -19,7 +19,7 @@ from tarmacade.operators import resolution as X
 from tarmacade.plans.conversation import page_referents
 from tarmacade.plans.parser import SMALL
 from tarmacade.plans.router import ABOUT, residual_words
-from tarmacade.session import cut_lineage
+from tarmacade.session import cut_lineage, spread
 from tarmacade.sources.projection import Catalog, common_tables
 from tarmacade.sources.tables import table
 
@@ -50,7 +50,7 @@ def router_batch(spark: SparkSession, sf: str) -> DataFrame:
                 rows.append((text, query.intent.value if query else None, list(r.direct) if r else [], " ".join(r.residual) if r else "", r.residual_type if r else None))
             yield pd.DataFrame(rows, columns=["text", "intent", "direct", "residual", "residual_type"])
 
-    return texts.mapInPandas(read, "text string, intent string, direct array<string>, residual string, residual_type string")
+    return spread(texts).mapInPandas(read, "text string, intent string, direct array<string>, residual string, residual_type string")
 
 
 def result_referents(spark: SparkSession, sf: str) -> DataFrame:

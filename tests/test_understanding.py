@@ -3,6 +3,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from tarmacade import understanding
 from tarmacade.functions import display as D
 from tarmacade.functions.composite import composited, formed, latin_variants
 from tarmacade.functions.countries import CODES
@@ -183,3 +184,10 @@ def test_latencies_of_a_large_group(spark):
         s = sorted(vs)
         assert got[g]["n"] == len(s) and got[g]["max"] == s[-1] and abs(got[g]["mean"] - sum(s) / len(s)) < 1e-5
         assert [got[g][f"p{p}"] for p in V.PERCENTS] == [s[-(-len(s) * p // 100) - 1] for p in V.PERCENTS]
+
+
+def test_router_batch_reads_a_slipped_year(spark, tmp_path):
+    spark.createDataFrame([("Rally Lunporto 2062",), ("Rally Lunporto 2026",)], "event_name string").write.parquet(f"{tmp_path}/rallies.parquet")
+    rows = {r["text"]: (r["intent"], list(r["direct"]), r["residual"]) for r in understanding.router_batch(spark, str(tmp_path)).collect()}
+    assert rows["who won Rally Lunporto 2062"] == ("GET_RALLY_RESULTS", [], "lunporto") and rows["who won Rally Lunporto 2026"] == ("GET_RALLY_RESULTS", ["years"], "lunporto")
+    assert len(rows) == 4
