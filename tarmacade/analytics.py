@@ -110,7 +110,7 @@ def index_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 def candidates_ranked(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best candidates of every mention."""
-    return R.candidates(mentions_of(spark, sf), R.postings(_people(spark, sf))).where("rank <= 10")
+    return R.candidates(mentions_of(spark, sf), R.postings(_people(spark, sf)), most=10)
 
 
 def entity_resolution_decisions(spark: SparkSession, sf: str) -> DataFrame:

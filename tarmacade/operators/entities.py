@@ -2,20 +2,23 @@
 
 Entities are (entity_id, entity_type, name), one row per name (an entity may have several),
 mentions (mention_id, entity_type, mention). The index is one table of postings; candidates come
-from an equi-join with it and a weighted sum, which is combined on the map side. Keys that very
-many names share are salted on both sides. Mentions are resolved once per distinct text.
+from a weighted sum over the postings of a mention's keys, in arrays, for blocks of entities. Mentions
+are resolved once per distinct text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmacade.functions import text as T
 from tarmacade.functions.kernels import dice, jaro_winkler, pairwise
-from tarmacade.session import cut_lineage, spread
+from tarmacade.session import cut_lineage, merged, spread
 
 # What a hit in each family of keys counts; prefixes count 5 per letter.
 WEIGHTS = {"canonical": 12_000, "exact": 10_000, "token": 200, "trigram": 20, "bigram": 4, "phonetic": 300}
@@ -31,8 +34,8 @@ LEAST_SIGNAL = 0.18
 #: Signals from which a candidate counts as matched by them.
 MATCHED = {"token": 0.50, "ngram": 0.45, "lexical": 0.65, "phonetic": 0.65}
 
-#: Postings per part of a key, and the parts of the largest key.
-KEY_ROWS, MOST_PARTS = 100_000, 512
+#: Entities that are weighed at once; mentions at least and at most, and at most where few candidates each come out.
+KEY_ROWS, LEAST_CHUNK, MOST_CHUNK, MOST_CHUNK_FEW = 200_000, 50, 1_000, 10_000
 
 
 def _keys(raw: Column, norm: Column) -> Column:
@@ -54,36 +57,103 @@ def postings(entities: DataFrame) -> DataFrame:
     return keyed.select("entity_type", "k.family", "k.key", "entity_id").distinct()
 
 
-def candidates(mentions: DataFrame, index: DataFrame) -> DataFrame:
+def candidates(mentions: DataFrame, index: DataFrame, most: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
     """(mention_id, entity_id, weight, rank): the pool of each mention, best first, ties by id.
 
-    A mention that shares no key with any entity has no candidates.
+    A mention that shares no key with any entity has no candidates. With `most` only the first of
+    a pool come out, with `wanted` (mention_id, entity_id) at least those pairs of it; ranks are
+    the same. Weights are summed in arrays, one chunk of mentions and block of entities at a time,
+    so that no pair of a mention and a posting becomes a row.
     """
+    on = ["entity_type", "family", "key"]
     keyed = mentions.select("mention_id", "entity_type", F.explode(_keys(F.col("mention"), T.normalize(F.col("mention")))).alias("k"))
     keyed = keyed.select("mention_id", "entity_type", "k.family", "k.key").distinct()
     weight = F.when(F.col("family") == "prefix", PREFIX_WEIGHT * F.length("key"))
     for family, w in WEIGHTS.items():
         weight = weight.when(F.col("family") == family, w)
-    summed = _met(keyed, index).groupBy("mention_id", "entity_type", "entity_id").agg(F.sum(weight.cast("long")).alias("weight"))
-    rank = F.row_number().over(Window.partitionBy("mention_id").orderBy(F.desc("weight"), F.col("entity_id")))
-    pool = F.when(F.col("entity_type") == "person", POOL["person"]).otherwise(OTHER_POOL)
-    return summed.withColumn("rank", rank).where(F.col("rank") <= pool).select("mention_id", "entity_id", "weight", "rank")
-
+    # The keys asked for, each with a number: written down so that the numbers stay.
+    codes = cut_lineage(keyed.select(*on).distinct().select(*on, weight.cast("long").alias("weight"), F.monotonically_increasing_id().alias("code")))
+    asked = merged(keyed, codes, on).groupBy("mention_id").agg(F.collect_list("code").alias("codes"), F.collect_list("weight").alias("weights"))
+    if wanted is not None:
+        asked = merged(asked, wanted.groupBy("mention_id").agg(F.collect_set("entity_id").alias("wanted")), "mention_id", "left")
+    held = merged(index, codes.drop("weight"), on).groupBy("entity_type", "entity_id").agg(F.collect_list("code").alias("codes"))
+    pool = F.lit(OTHER_POOL)
+    for kind, n in POOL.items():
+        pool = F.when(F.col("entity_type") == kind, F.lit(n)).otherwise(pool)
+    held = cut_lineage(held.select("entity_id", "codes", (pool if most is None else F.least(pool, F.lit(most))).alias("pool")))
+    asked = cut_lineage(asked)
+
+    blocks = max(1, -(-held.count() // KEY_ROWS))
+    few = most is not None or (wanted is not None and blocks == 1)
+    n, parts = asked.count(), int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = max(1, min(2 * parts, n // LEAST_CHUNK), -(-n // (MOST_CHUNK_FEW if few else MOST_CHUNK)))
+    side = lambda frame, mine, count, id_, other, others: frame.withColumns({mine: F.pmod(F.xxhash64(id_), F.lit(count)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(others - 1)))})
+    left = side(held, "block", blocks, "entity_id", "chunk", chunks).groupBy("block", "chunk")
+    right = side(asked, "chunk", chunks, "mention_id", "block", blocks).groupBy("block", "chunk")
+    kinds = dict(asked.dtypes)["mention_id"], dict(held.dtypes)["entity_id"]
+    found = left.cogroup(right).applyInArrow(lambda h, a: heaviest(h, a, blocks == 1), f"mention_id {kinds[0]}, entity_id {kinds[1]}, weight long, rank int, pool int")
+    if blocks > 1:
+        found = found.withColumn("rank", F.row_number().over(Window.partitionBy("mention_id").orderBy(F.desc("weight"), F.col("entity_id"))))
+    return found.where("rank <= pool").select("mention_id", "entity_id", "weight", "rank")
+
+
+def heaviest(held: pa.Table, asked: pa.Table, whole: bool = True) -> pa.Table:
+    """(mention_id, entity_id, weight, rank, pool): the heaviest entities of each mention, ties by id.
+
+    `held` is (entity_id, codes, pool), `asked` (mention_id, codes, weights) and perhaps `wanted`,
+    the only ids that come out if the entities are `whole`. A code occurs once in a list.
+    """
+    held = held.take(pc.sort_indices(held["entity_id"]))
+    codes, owner = _listed(held["codes"])
+    order = np.argsort(codes, kind="stable")
+    keys, start = np.unique(codes[order], return_index=True)
+    postings = np.split(owner[order], start[1:])
+    pools = held["pool"].to_numpy()
+    most = int(pools.max(initial=0))
+    wants = asked["wanted"].to_pylist() if whole and "wanted" in asked.column_names else None
+    place = {e: i for i, e in enumerate(held["entity_id"].to_pylist())} if wants else {}
+
+    mine, mention = _listed(asked["codes"])
+    weights = _listed(asked["weights"])[0]
+    at = np.searchsorted(keys, mine)
+    known = at < len(keys)
+    known[known] = keys[at[known]] == mine[known]
+    at, weights, mention = at[known], weights[known], mention[known]
+    ends = np.searchsorted(mention, np.arange(asked.num_rows + 1))
+    total = np.zeros(held.num_rows, np.int64)
+    mentions, entities, sums, ranks = [], [], [], []
+    for m in range(asked.num_rows):
+        if ends[m] == ends[m + 1]:
+            continue
+        total[:] = 0
+        for k in range(ends[m], ends[m + 1]):
+            total[postings[at[k]]] += weights[k]
+        if wants:
+            places = np.array(sorted(place[e] for e in wants[m] or () if e in place), np.int64)
+            best = places[total[places] > 0]
+            rank = np.array([1 + np.count_nonzero(total > total[e]) + np.count_nonzero(total[:e] == total[e]) for e in best], np.int32)
+        else:
+            best = np.flatnonzero(total)
+            if len(best) > most:
+                best = best[total[best] >= np.partition(total[best], len(best) - most)[len(best) - most]]
+            best = best[np.argsort(-total[best], kind="stable")][:most]
+            rank = np.arange(1, len(best) + 1, dtype=np.int32)
+        mentions.append(np.full(len(best), m))
+        entities.append(best)
+        sums.append(total[best])
+        ranks.append(rank)
+    joined = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
+    entity = joined(entities, np.int64)
+    return pa.table({
+        "mention_id": asked["mention_id"].take(pa.array(joined(mentions, np.int64))), "entity_id": held["entity_id"].take(pa.array(entity)),
+        "weight": joined(sums, np.int64), "rank": joined(ranks, np.int32), "pool": pools[entity].astype(np.int32),
+    })
 
-def _met(keyed: DataFrame, index: DataFrame) -> DataFrame:
-    """The mentions' keys joined with the postings; keys of more than KEY_ROWS postings in parts.
 
-    A key's postings are dealt to parts by entity and the mentions' row is repeated per part. The
-    list of such keys is small (each has KEY_ROWS of the postings) and broadcast only if few.
-    """
-    on = ["entity_type", "family", "key"]
-    hot = index.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > KEY_ROWS)
-    hot = cut_lineage(hot.select(*on, F.least(F.lit(MOST_PARTS), F.ceil(F.col("n") / KEY_ROWS)).cast("int").alias("parts")))
-    if not hot.limit(1).count():
-        return keyed.join(index, on)
-    dealt = index.join(hot, on, "left").withColumn("part", F.pmod(F.xxhash64("entity_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    each = keyed.join(hot, on, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return each.join(dealt, [*on, "part"])
+def _listed(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The items of all lists, and the row of each."""
+    sizes = pc.list_value_length(lists).to_numpy()
+    return pc.list_flatten(lists).to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
 
 
 def full_scan(mentions: DataFrame, entities: DataFrame) -> DataFrame:

@@ -191,3 +191,26 @@ def test_router_batch_reads_a_slipped_year(spark, tmp_path):
     rows = {r["text"]: (r["intent"], list(r["direct"]), r["residual"]) for r in understanding.router_batch(spark, str(tmp_path)).collect()}
     assert rows["who won Rally Lunporto 2062"] == ("GET_RALLY_RESULTS", [], "lunporto") and rows["who won Rally Lunporto 2026"] == ("GET_RALLY_RESULTS", ["years"], "lunporto")
     assert len(rows) == 4
+
+
+def test_first_and_wanted_candidates_have_the_ranks_of_the_pool(spark, monkeypatch):
+    e = spark.createDataFrame([(f"p{i:02}", "person", f"{a} {b}") for i, (a, b) in enumerate((a, b) for a in ("Ann", "Bo", "Cy") for b in ("Berg", "Bergman", "Carl", "Berg"))], "entity_id string, entity_type string, name string")
+    m = spark.createDataFrame([(x, "person", x) for x in ("Ann Berg", "Bo Bergmann", "Carl", "zzz")], "mention_id string, entity_type string, mention string")
+    index = R.postings(e)
+    pool = sorted(map(tuple, R.candidates(m, index).collect()))
+    weights = {"prefix": lambda k: 5 * len(k)} | {f: lambda k, w=w: w for f, w in R.WEIGHTS.items()}
+    held = {(r["family"], r["key"], r["entity_id"]) for r in index.collect()}
+    keyed = m.select("mention_id", F.explode(R._keys(F.col("mention"), R.T.normalize(F.col("mention")))).alias("k")).select("mention_id", "k.*").distinct().collect()
+    total = {}
+    for r in keyed:
+        for f, k, p in held:
+            if (f, k) == (r["family"], r["key"]):
+                total[r["mention_id"], p] = total.get((r["mention_id"], p), 0) + weights[f](k)
+    ranked = {x: sorted((-w, p) for (y, p), w in total.items() if y == x) for x in {y for y, _ in total}}
+    assert pool == sorted((x, p, -w, k) for x, rows in ranked.items() for k, (w, p) in enumerate(rows, 1)) and len(pool) > 20
+    wanted = spark.createDataFrame([("Ann Berg", "p01"), ("Carl", "p10"), ("Carl", "p00"), ("zzz", "p00")], "mention_id string, entity_id string")
+    pairs = {tuple(r) for r in wanted.collect()}
+    for most_at_once in (R.KEY_ROWS, 5):
+        monkeypatch.setattr(R, "KEY_ROWS", most_at_once)
+        assert sorted(map(tuple, R.candidates(m, index, most=2).collect())) == [r for r in pool if r[3] <= 2]
+        assert [r for r in sorted(map(tuple, R.candidates(m, index, wanted=wanted).collect())) if r[:2] in pairs] == [r for r in pool if r[:2] in pairs]
