@@ -125,7 +125,7 @@ def recall_mrr(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "people").select(present("person_id").alias("entity_id"), F.coalesce("role", F.lit("none")).alias("group"), F.explode("searchable_names").alias("mention"))
     rows = rows.where("entity_id is not null and trim(mention) <> '' and lower(trim(mention)) not in ('null', 'none')").distinct()
     truth = rows.select(F.concat_ws("|", "entity_id", "mention").alias("mention_id"), "entity_id", "group", "mention").distinct()
-    pool = R.candidates(truth.select("mention_id", F.lit("person").alias("entity_type"), "mention").distinct(), R.postings(_people(spark, sf)))
+    pool = R.candidates(truth.select("mention_id", F.lit("person").alias("entity_type"), "mention").distinct(), R.postings(_people(spark, sf)), wanted=truth.select("mention_id", "entity_id"))
     return _rounded(R.retrieval_metrics(truth, pool))
 
 

@@ -169,6 +169,23 @@ def test_parser():
     assert residual_type(("berg",), "videos featuring berg", Intent.VIDEO_ACTIONS) == "person"
 
 
+def test_recall_asks_only_for_the_wanted_ranks(spark, tmp_path, monkeypatch):
+    rows = [("p1", "Ann Berg", "driver", ["Ann Berg", "Annie Berg"]), ("p2", "Annie Berg", "driver", ["Bergie"]), ("p3", "Bo Carl", None, ["null", "Zzz"])]
+    spark.createDataFrame(rows, "person_id string, display_name string, role string, searchable_names array<string>").write.parquet(f"{tmp_path}/people.parquet")
+    for table, schema in [("rallies", "event_id string, event_name string"), ("stages", "stage_id string, stage_name string")]:
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{table}.parquet")
+    sizes, found = [], R.candidates
+
+    def counted(*args, **kwargs):
+        pool = found(*args, **kwargs)
+        sizes.append((pool.count(), found(*args).count()))
+        return pool
+
+    monkeypatch.setattr(R, "candidates", counted)
+    got = {r["group"]: (r["cases"], r["recall_1"], r["recall_5"]) for r in analytics.recall_mrr(spark, str(tmp_path)).collect()}
+    assert got == {"driver": (3, 0.666667, 1.0), "none": (1, 0.0, 0.0)} and sizes[0][0] == 3 < sizes[0][1]
+
+
 def test_parser_takes_no_year_out_of_range():
     assert parse("Rally Lunporto 2062").query.years == () and parse("rallies 1912, 2024").query.years == (2024,)
     q = parse("rallies between 1900 and 1960").query
