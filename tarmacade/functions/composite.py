@@ -16,11 +16,13 @@ import unicodedata
 from functools import lru_cache
 from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarmacade.functions import text as T
+from tarmacade.functions.batched import measures
 from tarmacade.functions.kernels import dice, jaro_winkler
 
 # Scores of equal forms, best first.
@@ -88,7 +90,9 @@ def likeness(a: Column, b: Column) -> Column:
 
     @F.pandas_udf("array<array<double>>")
     def measure(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([[_measures(x, y) for x, y in zip(xs, ys)] for xs, ys in zip(a, b)], dtype=object)
+        each = a.map(len).to_numpy()
+        found = _measured([x for xs in a for x in xs], [y for ys in b for y in ys])
+        return pd.Series([m.tolist() for m in np.split(found, np.cumsum(each)[:-1])], dtype=object)
 
     return measure(a, b)
 
@@ -98,11 +102,22 @@ def closest(phrase: Column, options: Column, weights: tuple[float, ...]) -> Colu
 
     @F.pandas_udf("double")
     def best(phrases: pd.Series, options: pd.Series) -> pd.Series:
-        return pd.Series([max((sum(w * m for w, m in zip(weights, _measures(p, o))) for o in os), default=0.0) for p, os in zip(phrases, options)], dtype="float64")
+        each = options.map(len).to_numpy()
+        found = _measured([p for p, n in zip(phrases, each) for _ in range(n)], [o for os in options for o in os], triples=False)
+        blends, most = sum(w * found[:, i] for i, w in enumerate(weights)), np.zeros(len(each))
+        np.maximum.at(most, np.repeat(np.arange(len(each)), each), blends)
+        return pd.Series(most)
 
     return best(phrase, options)
 
 
+def _measured(a: list[str], b: list[str], triples: bool = True) -> np.ndarray:
+    """`measures` of each two texts, the same two measured once."""
+    once: dict[tuple[str, str], int] = {}
+    at = [once.setdefault(pair, len(once)) for pair in zip(a, b)]
+    return measures([x for x, _ in once], [y for _, y in once], triples)[at]
+
+
 @lru_cache(maxsize=200_000)
 def _measures(a: str, b: str) -> list[float]:
     return [jaro_winkler(a, b), edit_similarity(a, b), dice(a, b, 2), dice(a, b, 3)]

@@ -8,7 +8,7 @@ are resolved once per distinct text.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ LEAST_POOL = 25
 # Thresholds of a decision.
 ACCEPT, GAP, PLAUSIBLE, ALTERNATIVE = 0.75, 0.15, 0.50, 0.65
 LEAST_SIGNAL = 0.18
+# Fixed value: options shown.
+OPTIONS = 5
 #: Signals from which a candidate counts as matched by them.
 MATCHED = {"token": 0.50, "ngram": 0.45, "lexical": 0.65, "phonetic": 0.65}
 
@@ -57,14 +59,8 @@ def postings(entities: DataFrame) -> DataFrame:
     return keyed.select("entity_type", "k.family", "k.key", "entity_id").distinct()
 
 
-def candidates(mentions: DataFrame, index: DataFrame, most: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
-    """(mention_id, entity_id, weight, rank): the pool of each mention, best first, ties by id.
-
-    A mention that shares no key with any entity has no candidates. With `most` only the first of
-    a pool come out, with `wanted` (mention_id, entity_id) at least those pairs of it; ranks are
-    the same. Weights are summed in arrays, one chunk of mentions and block of entities at a time,
-    so that no pair of a mention and a posting becomes a row.
-    """
+def _coded(mentions: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mention_id, codes, weights) and (entity_type, entity_id, codes): the keys that mentions ask for, as numbers."""
     on = ["entity_type", "family", "key"]
     keyed = mentions.select("mention_id", "entity_type", F.explode(_keys(F.col("mention"), T.normalize(F.col("mention")))).alias("k"))
     keyed = keyed.select("mention_id", "entity_type", "k.family", "k.key").distinct()
@@ -74,12 +70,29 @@ def candidates(mentions: DataFrame, index: DataFrame, most: int | None = None, w
     # The keys asked for, each with a number: written down so that the numbers stay.
     codes = cut_lineage(keyed.select(*on).distinct().select(*on, weight.cast("long").alias("weight"), F.monotonically_increasing_id().alias("code")))
     asked = merged(keyed, codes, on).groupBy("mention_id").agg(F.collect_list("code").alias("codes"), F.collect_list("weight").alias("weights"))
-    if wanted is not None:
-        asked = merged(asked, wanted.groupBy("mention_id").agg(F.collect_set("entity_id").alias("wanted")), "mention_id", "left")
     held = merged(index, codes.drop("weight"), on).groupBy("entity_type", "entity_id").agg(F.collect_list("code").alias("codes"))
+    return asked, held
+
+
+def _pool_size() -> Column:
     pool = F.lit(OTHER_POOL)
     for kind, n in POOL.items():
         pool = F.when(F.col("entity_type") == kind, F.lit(n)).otherwise(pool)
+    return pool
+
+
+def candidates(mentions: DataFrame, index: DataFrame, most: int | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """(mention_id, entity_id, weight, rank): the pool of each mention, best first, ties by id.
+
+    A mention that shares no key with any entity has no candidates. With `most` only the first of
+    a pool come out, with `wanted` (mention_id, entity_id) at least those pairs of it; ranks are
+    the same. Weights are summed in arrays, one chunk of mentions and block of entities at a time,
+    so that no pair of a mention and a posting becomes a row.
+    """
+    asked, held = _coded(mentions, index)
+    if wanted is not None:
+        asked = merged(asked, wanted.groupBy("mention_id").agg(F.collect_set("entity_id").alias("wanted")), "mention_id", "left")
+    pool = _pool_size()
     held = cut_lineage(held.select("entity_id", "codes", (pool if most is None else F.least(pool, F.lit(most))).alias("pool")))
     asked = cut_lineage(asked)
 
@@ -104,30 +117,13 @@ def heaviest(held: pa.Table, asked: pa.Table, whole: bool = True) -> pa.Table:
     the only ids that come out if the entities are `whole`. A code occurs once in a list.
     """
     held = held.take(pc.sort_indices(held["entity_id"]))
-    codes, owner = _listed(held["codes"])
-    order = np.argsort(codes, kind="stable")
-    keys, start = np.unique(codes[order], return_index=True)
-    postings = np.split(owner[order], start[1:])
     pools = held["pool"].to_numpy()
     most = int(pools.max(initial=0))
     wants = asked["wanted"].to_pylist() if whole and "wanted" in asked.column_names else None
     place = {e: i for i, e in enumerate(held["entity_id"].to_pylist())} if wants else {}
 
-    mine, mention = _listed(asked["codes"])
-    weights = _listed(asked["weights"])[0]
-    at = np.searchsorted(keys, mine)
-    known = at < len(keys)
-    known[known] = keys[at[known]] == mine[known]
-    at, weights, mention = at[known], weights[known], mention[known]
-    ends = np.searchsorted(mention, np.arange(asked.num_rows + 1))
-    total = np.zeros(held.num_rows, np.int64)
     mentions, entities, sums, ranks = [], [], [], []
-    for m in range(asked.num_rows):
-        if ends[m] == ends[m + 1]:
-            continue
-        total[:] = 0
-        for k in range(ends[m], ends[m + 1]):
-            total[postings[at[k]]] += weights[k]
+    for m, total in weighed(held, asked):
         if wants:
             places = np.array(sorted(place[e] for e in wants[m] or () if e in place), np.int64)
             best = places[total[places] > 0]
@@ -150,6 +146,27 @@ def heaviest(held: pa.Table, asked: pa.Table, whole: bool = True) -> pa.Table:
     })
 
 
+def weighed(held: pa.Table, asked: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of `asked` with the weight of every row of `held`; the array is used again."""
+    codes, owner = _listed(held["codes"])
+    order = np.argsort(codes, kind="stable")
+    keys, start = np.unique(codes[order], return_index=True)
+    postings = np.split(owner[order], start[1:])
+    mine, mention = _listed(asked["codes"])
+    weights = _listed(asked["weights"])[0]
+    at = np.searchsorted(keys, mine)
+    known = at < len(keys)
+    known[known] = keys[at[known]] == mine[known]
+    at, weights, mention = at[known], weights[known], mention[known]
+    ends = np.searchsorted(mention, np.arange(asked.num_rows + 1))
+    total = np.zeros(held.num_rows, np.int64)
+    for m in range(asked.num_rows):
+        total[:] = 0
+        for k in range(ends[m], ends[m + 1]):
+            total[postings[at[k]]] += weights[k]
+        yield m, total
+
+
 def _listed(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The items of all lists, and the row of each."""
     sizes = pc.list_value_length(lists).to_numpy()
@@ -231,7 +248,7 @@ def decisions(mentions: DataFrame, ranked: DataFrame) -> DataFrame:
     whole = Window.partitionBy("mention_id")
     top = ranked.withColumns({"k": F.row_number().over(best), "second": F.lead("score").over(best), "base_second": F.lead("base_score").over(best), "n": F.count(F.lit(1)).over(whole), "form": T.normalize(F.col("name"))})
     twin = F.count(F.lit(1)).over(Window.partitionBy("mention_id", "form", F.round("score", 6)))
-    option = F.when((F.col("k") <= 5) & (F.col("score") >= PLAUSIBLE), F.struct("k", "entity_id"))
+    option = F.when((F.col("k") <= OPTIONS) & (F.col("score") >= PLAUSIBLE), F.struct("k", "entity_id"))
     top = top.withColumns({"twins": twin, "options": F.transform(F.array_sort(F.collect_list(option).over(whole)), lambda o: o["entity_id"])}).where("k = 1")
     joined = mentions.select("mention_id", "entity_type", T.normalize(F.col("mention")).alias("m")).join(top, "mention_id", "left")
     gap = F.greatest(F.col("score") - F.coalesce("second", F.lit(0.0)), F.col("base_score") - F.coalesce("base_second", F.lit(0.0)))

@@ -16,6 +16,7 @@ from tarmacade.functions.countries import CODES_SQL, country_code
 from tarmacade.operators import entities as R
 from tarmacade.operators import evaluation as V
 from tarmacade.operators import resolution as X
+from tarmacade.operators.best import best_scored
 from tarmacade.plans.conversation import page_referents
 from tarmacade.plans.parser import SMALL
 from tarmacade.plans.router import ABOUT, residual_words
@@ -147,9 +148,9 @@ def _rallies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rally_ranked(spark: SparkSession, sf: str, mentions: DataFrame) -> DataFrame:
-    pool = R.escaped(mentions, _rallies(spark, sf), cut_lineage(R.candidates(mentions, R.postings(_rallies(spark, sf)))))
-    found = X.looked_up(mentions, R.scored(mentions, _rallies(spark, sf), pool))
-    return cut_lineage(X.rescored(mentions, _rallies(spark, sf), cut_lineage(found)))
+    rallies = cut_lineage(_rallies(spark, sf))
+    found = X.looked_up(mentions, best_scored(mentions, rallies, X.LOOKED_UP["rally"]))
+    return cut_lineage(X.rescored(mentions, rallies, cut_lineage(found)))
 
 
 def rally_resolution(spark: SparkSession, sf: str) -> DataFrame:
