@@ -16,6 +16,7 @@ from tarmacade.integrity import ORDER_SQL, given
 from tarmacade.operators import entities as R
 from tarmacade.operators import evaluation as V
 from tarmacade.operators import sessions as S
+from tarmacade.operators.best import best_scored
 from tarmacade.operators.orphans import latest_rows
 from tarmacade.operators.strategies import seconds
 from tarmacade.session import cut_lineage, spread
@@ -115,9 +116,8 @@ def candidates_ranked(spark: SparkSession, sf: str) -> DataFrame:
 
 def entity_resolution_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """What each mention resolves to, every candidate of its pool scored."""
-    mentions, people = mentions_of(spark, sf), _people(spark, sf)
-    pool = R.escaped(mentions, people, cut_lineage(R.candidates(mentions, R.postings(people))))
-    return R.decisions(mentions, R.scored(mentions, people, pool))
+    mentions, people = cut_lineage(mentions_of(spark, sf)), cut_lineage(_people(spark, sf))
+    return R.decisions(mentions, best_scored(mentions, people, R.OPTIONS))
 
 
 def recall_mrr(spark: SparkSession, sf: str) -> DataFrame:

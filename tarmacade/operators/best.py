@@ -19,7 +19,7 @@ from tarmacade.functions import text as T
 from tarmacade.functions.batched import LONGEST, gram_places, lettered, multiset_dice, places, winkler
 from tarmacade.functions.kernels import dice, jaro_winkler
 from tarmacade.operators import entities as R
-from tarmacade.session import cut_lineage, merged
+from tarmacade.session import cut_lineage, merged, spread
 
 #: Words of a name that are compared in arrays; letters whose places are kept for a whole block; copies of a block at least allowed.
 MOST_WORDS, KEPT_LETTERS, COPIES = 12, 64, 24
@@ -40,7 +40,8 @@ def best_scored(mentions: DataFrame, entities: DataFrame, most: int) -> DataFram
     type. Namesakes of the best with its score come out, however many; so do at least two
     candidates where there are two. `decisions` are those of the whole pool if `most` is 5 or more.
     """
-    named = entities.where(F.trim("name") != "").select("entity_type", "entity_id", "name").distinct()
+    # Keys and forms are what costs before the scores, and few bytes hold many names.
+    mentions, named = spread(mentions), spread(entities.where(F.trim("name") != "").select("entity_type", "entity_id", "name").distinct())
     asked, held = R._coded(mentions, R.postings(named))
     one = F.struct(F.col("name").alias("raw"), *[c.alias(n) for n, c in _compared(F.col("name")).items()])
     names = named.select("entity_type", "entity_id", one.alias("n")).groupBy("entity_type", "entity_id").agg(F.collect_list("n").alias("names"))
@@ -51,7 +52,7 @@ def best_scored(mentions: DataFrame, entities: DataFrame, most: int) -> DataFram
     held, asked = cut_lineage(held), cut_lineage(asked)
 
     blocks, n, parts = max(1, -(-held.count() // R.KEY_ROWS)), asked.count(), int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = max(1, min(parts, COPIES, n // R.LEAST_CHUNK), -(-n // R.MOST_CHUNK_FEW))
+    chunks = max(1, min(2 * parts, COPIES, n // R.LEAST_CHUNK), -(-n // R.MOST_CHUNK_FEW))
     side = lambda frame, mine, count, id_, other, others: frame.withColumns({mine: F.pmod(F.xxhash64(id_), F.lit(count)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(others - 1)))}).groupBy("block", "chunk")
     kinds = dict(asked.dtypes)["mention_id"], dict(held.dtypes)["entity_id"]
     found = side(held, "block", blocks, "entity_id", "chunk", chunks).cogroup(side(asked, "chunk", chunks, "mention_id", "block", blocks)).applyInArrow(

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tarmacade import understanding
+from tarmacade import analytics, understanding
 from tarmacade.functions.batched import measures
 from tarmacade.functions.composite import edit_similarity
 from tarmacade.functions.kernels import dice, jaro_winkler
@@ -62,3 +62,20 @@ def test_rallies_resolve_without_a_row_per_pair(spark, tmp_path, monkeypatch):
     for step in ("candidates", "escaped", "scored", "full_scan"):
         monkeypatch.setattr(R, step, None)
     assert sorted(understanding.rally_resolution(spark, str(tmp_path)).collect()) == expected and len(expected) == 20
+
+
+def test_people_resolve_without_a_row_per_pair(spark, tmp_path, monkeypatch):
+    people = [(f"p{i:02}", f"{a} {b}") for i, (a, b) in enumerate((a, b) for a in ("Ann", "Anna", "Bo", "Cy", "Rowbert", "Robert") for b in ("Berg", "Bergman", "Berkolanof", "Carl", "Carlsen"))]
+    people += [("q1", "Ann Berg"), ("q2", "ann  berg")]
+    typed = [(None, n) for n in ("Ann Berg", "Robert Bergolanov", "Bo", "Yyyy", "Carlson Cy")]
+    for name, rows, schema in [
+        ("people", people, "person_id string, display_name string"), ("participation", typed, "person_id string, driver_name string"),
+        ("rallies", [], "event_id string, event_name string"), ("stages", [], "stage_id string, stage_name string"),
+    ]:
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    mentions, everyone = analytics.mentions_of(spark, str(tmp_path)), analytics._people(spark, str(tmp_path))
+    expected = sorted(R.decisions(mentions, by_pairs(mentions, everyone)).collect())
+    for step in ("candidates", "escaped", "scored", "full_scan"):
+        monkeypatch.setattr(R, step, None)
+    assert sorted(analytics.entity_resolution_decisions(spark, str(tmp_path)).collect()) == expected
+    assert {r["mention_id"]: r["strategy"] for r in expected}["Ann Berg"] == "duplicate_person_identity"
