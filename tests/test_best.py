@@ -79,3 +79,13 @@ def test_people_resolve_without_a_row_per_pair(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(R, step, None)
     assert sorted(analytics.entity_resolution_decisions(spark, str(tmp_path)).collect()) == expected
     assert {r["mention_id"]: r["strategy"] for r in expected}["Ann Berg"] == "duplicate_person_identity"
+
+
+def test_outcomes_count_every_spelling_without_a_row_per_pair(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([("e1", "Rally Alfa 2023", 2023), ("e2", "Rally Alfa 2024", 2024), ("e3", "Zemgale", None)], "event_id string, event_name string, year int").write.parquet(f"{tmp_path}/rallies.parquet")
+    for name, schema in [("people", "person_id string, display_name string"), ("stages", "stage_id string, stage_name string")]:
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for step in ("candidates", "escaped", "scored", "full_scan"):
+        monkeypatch.setattr(R, step, None)
+    found = understanding.resolution_outcomes(spark, str(tmp_path)).collect()
+    assert sum(r["n"] for r in found) == 3 and sum(r["resolved"] for r in found) == 3
