@@ -207,9 +207,10 @@ def composited(pairs: DataFrame, person: Column, name: str = "score") -> DataFra
     is a person's, which are compared name by name unless a generic word is about. What several
     branches need is a column of its own, so that it is computed once.
     """
-    q, c, at = F.col("q"), F.col("c"), {f: F.col("#like")[i] for i, f in enumerate((*_FORMS, "first", "last", "last_heard"))}
+    q, c, at = F.col("q"), F.col("c"), {f: F.get("#like", F.lit(i)) for i, f in enumerate((*_FORMS, "first", "last", "last_heard"))}
     first, last = (lambda s: F.coalesce(F.try_element_at(s["names"], F.lit(1)), F.lit(""))), (lambda s: F.coalesce(F.try_element_at(s["names"], F.lit(-1)), F.lit("")))
-    sides = [F.array(*[s[f] for f in _FORMS], first(s), last(s), T.acoustic_fold(last(s))) for s in (q, c)]
+    # Given and family names are measured of people only.
+    sides = [F.when(person, F.array(*[s[f] for f in _FORMS], first(s), last(s), T.acoustic_fold(last(s)))).otherwise(F.array(*[s[f] for f in _FORMS])) for s in (q, c)]
     readings = F.coalesce(q["readings"], F.array().cast("array<string>"))
     measured = pairs.withColumns({"#like": likeness(*sides), "#within": _within(q, c), "#read": by_readings(readings, c["norm"], c["base"], c["core"], c["flat"])})
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tarmacade.functions import text as T
 from tarmacade.functions.composite import IN_CONTEXT, composited, formed
 from tarmacade.operators.entities import ACCEPT, GAP
-from tarmacade.session import spread
+from tarmacade.session import merged, spread
 
 # Confidence of a question asked before any score, plausible rallies for a city, options shown.
 ASKED, PLAUSIBLE_RALLY, SHOWN = 0.5, 0.60, 5
@@ -35,13 +35,14 @@ def rescored(mentions: DataFrame, entities: DataFrame, pool: DataFrame, in_conte
     """(mention_id, entity_id, name, score, base_score): the pool by the composite score, best name first.
 
     `in_context` (mention_id, entity_id) are pairs whose score is raised by IN_CONTEXT. Forms are
-    computed once per distinct mention and name, then joined to the pairs.
+    computed once per distinct mention and name, and a name is scored once, however many entities have it.
     """
     asked = formed(mentions.select("mention_id", (F.col("entity_type") == "person").alias("person"), "mention"), "mention", "q").drop("mention")
-    named = formed(entities.where(F.trim("name") != "").select("entity_id", "name").distinct(), "name", "c")
-    pairs = spread(pool.select("mention_id", "entity_id")).join(asked, "mention_id").join(named, "entity_id")
-    base = composited(pairs, F.col("person"), "base_score")
-    best = base.groupBy("mention_id", "entity_id").agg(F.min(F.struct((-F.col("base_score")).alias("order"), "name")).alias("r"))
+    named = entities.where(F.trim("name") != "").select("entity_id", "name").distinct()
+    met = pool.select("mention_id", "entity_id").join(named, "entity_id")
+    pairs = spread(met.select("mention_id", "name").distinct()).join(asked, "mention_id").join(formed(named.select("name").distinct(), "name", "c"), "name")
+    base = composited(pairs, F.col("person"), "base_score").select("mention_id", "name", "base_score")
+    best = merged(met, base, ["mention_id", "name"]).groupBy("mention_id", "entity_id").agg(F.min(F.struct((-F.col("base_score")).alias("order"), "name")).alias("r"))
     best = best.select("mention_id", "entity_id", "r.name", (-F.col("r.order")).alias("base_score"))
     if in_context is None:
         return best.withColumn("score", F.col("base_score"))

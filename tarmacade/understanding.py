@@ -147,17 +147,20 @@ def _rallies(spark: SparkSession, sf: str) -> DataFrame:
     return entities_of(spark, sf).where("entity_type = 'rally'")
 
 
-def _rally_ranked(spark: SparkSession, sf: str, mentions: DataFrame) -> DataFrame:
+def _rally_ranked(spark: SparkSession, sf: str, mentions: DataFrame, years: DataFrame | None = None) -> DataFrame:
+    """The rallies that the mentions find by the composite score; with `years` only those that `of_edition` keeps."""
     rallies = cut_lineage(_rallies(spark, sf))
     found = X.looked_up(mentions, best_scored(mentions, rallies, X.LOOKED_UP["rally"]))
+    if years is not None:  # the edition depends on no score, so the others need none
+        found = X.of_edition(mentions, found, years).distinct()
     return cut_lineage(X.rescored(mentions, rallies, cut_lineage(found)))
 
 
 def rally_resolution(spark: SparkSession, sf: str) -> DataFrame:
     """What each spelling of a rally resolves to by the composite score, its edition or a question for the year."""
     mentions = cut_lineage(_rally_mentions(spark, sf))
-    years = table(spark, sf, "rallies").select(stripped("event_id").alias("entity_id"), "year").where("entity_id is not null").distinct()
-    ranked = cut_lineage(X.of_edition(mentions, _rally_ranked(spark, sf, mentions), years))
+    years = cut_lineage(table(spark, sf, "rallies").select(stripped("event_id").alias("entity_id"), "year").where("entity_id is not null").distinct())
+    ranked = cut_lineage(X.of_edition(mentions, _rally_ranked(spark, sf, mentions, years), years))
     return X.editions_asked(mentions, ranked, R.decisions(mentions, ranked))
 
 
