@@ -248,15 +248,15 @@ class _Weights:
     def __init__(self, held: pa.Table, asked: pa.Table, kinds: dict[str, int]) -> None:
         keys = pc.list_flatten(asked["keys"]).combine_chunks()
         known = pc.unique(keys)
-        number = lambda table, items: pc.index_in(items, known).to_numpy(zero_copy_only=False)
+        number = lambda items: pc.index_in(items, known).to_numpy(zero_copy_only=False)
         side = lambda table: (pc.list_value_length(table["keys"]).to_numpy(), np.array([kinds[k] for k in table["entity_type"].to_pylist()], np.int64))
         # A key counts within its type only.
         each, kind = side(asked)
-        self.mine, self.ends = number(asked, keys) * len(kinds) + np.repeat(kind, each), np.concatenate([[0], np.cumsum(each)])
+        self.mine, self.ends = number(keys).astype(np.int64) * len(kinds) + np.repeat(kind, each), np.concatenate([[0], np.cumsum(each)])
         families = [k.split(":", 1) for k in known.to_pylist()]
         self.weight = np.array([R.PREFIX_WEIGHT * len(k) if f == "prefix" else R.WEIGHTS[f] for f, k in families], np.int64).repeat(len(kinds))
         each, kind = side(held)
-        at = number(held, pc.list_flatten(held["keys"]).combine_chunks())
+        at = number(pc.list_flatten(held["keys"]).combine_chunks())
         code, owner = at * len(kinds) + np.repeat(kind, each), np.repeat(np.arange(len(each)), each)
         code, owner = code[(there := ~np.isnan(at))].astype(np.int64), owner[there]
         order = np.argsort(code, kind="stable")
